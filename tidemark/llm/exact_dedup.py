@@ -15,7 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, lower_az
@@ -37,6 +37,11 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.string()), pa.array(list(groups.values()), pa.list_(pa.int64()))], ["norm", "ids"])
 
 
+def _splitter(norm: Column) -> tuple[Column, Column]:
+    """What partitions are split by: equal for equal texts, and small, as a sample of it reaches the driver."""
+    return F.substring(norm, 1, 32), F.xxhash64(norm)
+
+
 def _runs(largest: bool):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, keep, digest = None, None, None
@@ -68,7 +73,7 @@ def duplicate_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     folded = norm.mapInArrow(_fold, "norm string, ids array<long>")
     best = F.array_max("ids") if largest else F.array_min("ids")  # nulls are skipped
     order = best.desc_nulls_last() if largest else best.asc_nulls_last()
-    runs = folded.repartitionByRange(F.col("norm")).sortWithinPartitions(F.col("norm"), order)
+    runs = folded.repartitionByRange(*_splitter(F.col("norm"))).sortWithinPartitions(F.col("norm"), order)
     labelled = durable(runs.mapInArrow(_runs(largest), "doc_id long, keep_id long, text_sha256 string"), "runs")
     sizes = labelled.groupBy("text_sha256").agg(F.count("*").alias("group_size"))
     return labelled.join(sizes, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
@@ -106,4 +111,4 @@ def drop_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     folded = docs.mapInArrow(_first_of_runs(*at, largest, False), docs.schema)
     ident = F.col("doc_id").desc_nulls_last() if largest else F.col("doc_id").asc_nulls_last()
     norm = lower_az(F.col("text"))
-    return folded.repartitionByRange(norm).sortWithinPartitions(norm, ident).mapInArrow(_first_of_runs(*at, largest, True), docs.schema)
+    return folded.repartitionByRange(*_splitter(norm)).sortWithinPartitions(norm, ident).mapInArrow(_first_of_runs(*at, largest, True), docs.schema)
