@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, html_text, licenses, mixing, near_join, quality, toxicity
+from tidemark.llm import decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing, near_join, quality, surrogates, toxicity
 from tidemark.llm.common import table
 
 
@@ -30,10 +30,18 @@ def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -50,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_join, op3_decontaminate, op4_license, op6_quality, op8_html_text, op9_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_join, op3_decontaminate, op4_license, op5_surrogates, op6_quality, op7_line_dedup, op8_html_text, op9_exact_dedup, op10_mixing)}
 
 ORACLE = {
     "op9_exact_dedup": """
