@@ -1,0 +1 @@
+"""Tidemark: batch-to-warehouse operators as plain Spark DataFrame plans."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tidemark.plans import queries
+
+QUERIES = queries.QUERIES
+ORACLE = queries.ORACLE
