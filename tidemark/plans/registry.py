@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import queries
+from tidemark.plans import queries, warehouse
 
-QUERIES = queries.QUERIES
-ORACLE = queries.ORACLE
+QUERIES = queries.QUERIES | warehouse.QUERIES
+ORACLE = queries.ORACLE | warehouse.ORACLE
