@@ -37,14 +37,18 @@ WALKS, SAMPLES, POSITIONS = 6, 16, 3
 BLOCK_WORDS = 200_000
 #: Item sizes fall into classes, each a quarter larger than the last.
 GROWTH = 1.25
-#: Documents are matched in runs of about this many words; pairs are looked up in a table of this many slots.
-RUN_WORDS, PAIR_SLOTS = 200_000, 1 << 21
+#: Documents are matched in runs of about this many words; pairs are looked up in a table of this many slots, and keys likewise.
+RUN_WORDS, PAIR_SLOTS, KEY_SLOTS = 200_000, 1 << 21, 1 << 12
 
 _WORD = re.compile(r"[^\W_]+")
 
 
+_SPACES = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})
+
+
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").casefold())
+    text = (text or "").casefold()
+    return text.translate(_SPACES).split() if text.isascii() else _WORD.findall(text)
 
 
 def edits_allowed(n: int) -> int:
@@ -88,6 +92,7 @@ class Index:
             classes[int(np.floor(np.log(len(w)) / np.log(GROWTH)))].append(k)
         #: By class: least pairs and most words of a window, sampled output positions, items by key.
         self.tables = []
+        self.item_pairs = [frozenset(self.slots(w).tolist()) for _, w in self.items]
         for c in sorted(classes):
             sizes = [len(self.items[k][1]) for k in classes[c]]
             pairs, span = min(n - 1 - 2 * edits_allowed(n) for n in sizes), max(n + edits_allowed(n) for n in sizes)
@@ -117,9 +122,9 @@ class Index:
     def keys(self, emitted: np.ndarray, picks: np.ndarray) -> np.ndarray:
         total = np.zeros(emitted.shape[1], dtype=np.uint64)
         with np.errstate(over="ignore"):
-            for j in picks:
-                total = mix64(total * np.uint64(0x100000001B3) + self.codes[emitted[j]])
-        return total
+            for k, j in enumerate(picks):
+                total += self.codes[emitted[j]] * np.uint64(2 * k + 1)
+        return mix64(total)
 
     def match(self, docs: list[list[str]]) -> list[dict[int, float]]:
         """For each document (its words): item id to the similarity of a window that matches; 1 if any is equal."""
@@ -130,15 +135,17 @@ class Index:
             return found
         get = self.number.get
         words = np.fromiter((get(x, 0) for w in docs for x in w), dtype=np.int64, count=n)
-        hit = np.zeros(n, dtype=np.int64)
-        hit[:-1] = self.pairs[self.slots(words)] & (words[:-1] > 0) & (words[1:] > 0)
+        hit, slots = np.zeros(n, dtype=np.int64), self.slots(words)
+        hit[:-1] = self.pairs[slots] & (words[:-1] > 0) & (words[1:] > 0)
         hits = np.concatenate([[0], np.cumsum(hit)])
-        candidates: set[tuple[int, int, int]] = set()
+        candidates: set[tuple[int, int]] = set()
         for pairs, span, reach, picks, table in self.tables:
             starts = np.flatnonzero(hits[np.minimum(np.arange(n) + span, n)] - hits[:n] >= pairs)
             if not len(starts):
                 continue
-            known = [np.array([key for r, key in table if r == row], dtype=np.uint64) for row in range(WALKS * SAMPLES)]
+            maybe = np.zeros((WALKS * SAMPLES, KEY_SLOTS), dtype=bool)  # which keys the table may hold
+            for row, key in table:
+                maybe[row, key % KEY_SLOTS] = True
             for at in range(0, len(starts), 20_000):
                 part = starts[at : at + 20_000]
                 for walk in range(WALKS):
@@ -146,21 +153,26 @@ class Index:
                     for s in range(SAMPLES):
                         row = walk * SAMPLES + s
                         here = self.keys(emitted, picks[walk, s])
-                        for p in np.flatnonzero(np.isin(here, known[row])):
-                            doc = int(np.searchsorted(ends, part[p], side="right"))
-                            candidates.update((doc, k, int(part[p])) for k in table[row, int(here[p])])
+                        for p in np.flatnonzero(maybe[row][here % np.uint64(KEY_SLOTS)]).tolist():
+                            for k in table.get((row, int(here[p])), ()):
+                                candidates.add((k, int(part[p])))
         near = []
-        for doc, k, start in sorted(candidates):  # equal windows first: they settle an item without edit distances
+        for k, start in sorted(candidates):  # equal windows first: they settle an item without edit distances
             i, item = self.items[k]
+            most = edits_allowed(len(item))
+            # The q-gram lemma again, for this item alone: it spares most edit distances.
+            if sum(map(self.item_pairs[k].__contains__, slots[start : start + len(item) + most - 1].tolist())) < len(item) - 1 - 2 * most:
+                continue
+            doc = int(np.searchsorted(ends, start, side="right"))
             if i not in found[doc]:
                 if start + len(item) <= ends[doc] and np.array_equal(item, words[start : start + len(item)]):
                     found[doc][i] = 1.0
-                else:
+                elif most:
                     near.append((doc, k, start))
         for doc, k, start in near:
             i, item = self.items[k]
             most = edits_allowed(len(item))
-            if i not in found[doc] and most:
+            if i not in found[doc]:
                 d = edit_distance(item, words[start : min(int(ends[doc]), start + len(item) + most)], most)
                 if d <= most:
                     found[doc][i] = 1 - d / len(item)
