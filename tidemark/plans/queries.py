@@ -39,7 +39,11 @@ def total(c: Column, name: str) -> Column:
     return F.sum(c).cast("double").alias(name)
 
 
-BATCH = F.when(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"), 1).when(F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz"), 2).otherwise(3)
+def batch_of() -> Column:
+    """The batch an event belongs to, by its day."""
+    return F.expr("CASE WHEN ts < TIMESTAMP_NTZ '2024-01-11' THEN 1 WHEN ts < TIMESTAMP_NTZ '2024-01-21' THEN 2 ELSE 3 END")
+
+
 EV = """ev AS (SELECT event_id, ts, user_id, event_type, value, props,
   CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS _batch_id,
   CASE WHEN event_type IN ('purchase', 'error') THEN value END AS v FROM events)"""
@@ -47,7 +51,7 @@ EV = """ev AS (SELECT event_id, ts, user_id, event_type, value, props,
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     sparse = F.when(F.col("event_type").isin("purchase", "error"), F.col("value"))
-    return table(spark, d, "events").withColumns({"_batch_id": BATCH, "v": sparse})
+    return table(spark, d, "events").withColumns({"_batch_id": batch_of(), "v": sparse})
 
 
 # ---------------------------------------------------------------- sources
@@ -578,7 +582,7 @@ def reconcile_total(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def incremental_append(spark: SparkSession, d: str) -> DataFrame:
     """Three loads, the later ones with re-sent rows, hold what a full refresh holds."""
-    e = table(spark, d, "events").withColumn("_loaded_at", BATCH)
+    e = table(spark, d, "events").withColumn("_loaded_at", batch_of())
     columns = [c for c in e.columns if c != "_loaded_at"]
     again = e.where("_loaded_at = 1 and event_id % 7 = 0").withColumn("_loaded_at", F.lit(3))
     steps = [e.where("_loaded_at = 1"), e.where("_loaded_at = 2"), e.where("_loaded_at = 3").unionByName(again)]
