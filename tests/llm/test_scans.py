@@ -1,0 +1,166 @@
+import random
+import re
+from html import unescape
+
+import pytest
+from conftest import ODD
+
+from tidemark.llm import decontaminate, html_text, licenses, queries, surrogates
+
+SF = "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+# ------------------------------------------------------------ decontamination
+
+
+def least_edits(item, doc):
+    row = [0] * (len(doc) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(doc, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_leaks_against_brute_force(spark, docs):
+    rng = random.Random(6)
+    voc = [f"v{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(voc, k=rng.choice([12, 25, 50])))) for k in range(30)] + [(97, "two words"), (98, ""), (99, None)]
+    rows = []
+    for n in range(120):
+        body = rng.choices(voc, k=80)
+        if n % 2:
+            w = rng.choice(items[:30])[1].split()
+            for _ in range(int(len(w) * rng.choice([0, 0, 0.05, 0.1, 0.2, 0.4]))):
+                at = rng.randrange(len(w))
+                w[at : at + rng.choice([0, 1])] = rng.choice([[], ["new"], ["x", "y"]])
+            at = rng.randrange(80)
+            body[at:at] = [x.upper() + rng.choice(["", ",", "!!"]) for x in w]
+        rows.append((n, " ".join(body)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.contamination(docs(*rows), bench).collect()}
+    want = {}
+    for n, t in rows:
+        w = decontaminate.words_of(t)
+        want[n] = {i for i, x in items if x and least_edits(decontaminate.words_of(x), w) <= decontaminate.edits_allowed(len(x.split()))}
+    pairs = [(n, i) for n in want for i in want[n]]
+    assert all(got[n] <= want[n] for n in want)  # what is reported is exact
+    assert sum(i in got[n] for n, i in pairs) >= 0.95 * len(pairs) and len(pairs) > 30
+
+
+def test_leaks_in_blocks_and_odd_rows(spark, docs, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(1, item), (2, item[::-1]), (3, None)], "item_id long, text string")
+    df = docs(*ODD, (20, "Well, " + item.upper() + "."), (20, "Well, " + item.upper() + "."), (21, "alpha beta gamma delta"), source=None)
+    whole = sorted((r.doc_id or 0, r.contaminated, tuple(r["items"])) for r in decontaminate.contamination(df, bench).collect())
+    assert len(whole) == df.count() and [w for w in whole if w[1]] == [(20, True, (1,))] * 2
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 4)
+    assert sorted((r.doc_id or 0, r.contaminated, tuple(r["items"])) for r in decontaminate.contamination(df, bench).collect()) == whole
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and kept.count() == df.count() - 2
+    assert decontaminate.contamination(docs(), bench).count() == 0
+    assert not decontaminate.contamination(df, bench.where("false")).where("contaminated").count()
+
+
+# ------------------------------------------------------------ licences
+
+
+def brute_base(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    starts, labels = [], set()
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        at = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+        starts += at
+        labels |= {label} if at else set()
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
+
+
+def test_base_phrases_against_brute_force(spark, docs):
+    rng = random.Random(8)
+    parts = "gnu general public license apache license cc by mit license GNU General-Public\nLicense CC-BY by, license. é x1".split(" ")
+    rows = [(k, " ".join(rng.choices(parts, k=rng.randrange(30)))) for k in range(150)] + ODD
+    rows += [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = licenses.scan_licenses(docs(*rows)).collect()
+    assert len(got) == len(rows)
+    want = sorted(str((i, *brute_base(t))) for i, t in rows)
+    assert sorted(str((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in got) == want
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+
+
+def test_passages(docs):
+    rows = [(k, "Intro. " + t.upper().replace(" ", "  ") + ", and so on.") for k, (_, t, _) in enumerate(licenses.PASSAGES)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(docs(*rows, (99, "free software for the public, licensed under nothing"))).collect()}
+    assert all(licenses.PASSAGES[k][0] in got[k] for k in range(len(rows))) and got[99] == [""]
+    assert licenses.scan_licenses(docs()).count() == 0
+
+
+# ------------------------------------------------------------ html
+
+
+def test_pages_give_their_articles(spark):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries.op8_html_text(spark, SF).collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
+        want = unescape(re.sub(r"<[^>]*>", " ", inner)).split()
+        assert "".join(r.text.split()) == "".join(want) and r.n_chars == len(r.text)
+
+
+LONG = "This is the first paragraph of the text and it has many of the words that are used in the language, so that it is taken as a part of the article by the rules."
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (None, ""), ("", ""), ("<p>", ""),
+        (f"<article><p>A&nbsp;&amp;\n b</p><p>{LONG}<br>x</p><aside>no</aside><div class='comments'><p>{LONG}</p></div></article><p>{LONG}</p>", f"A & b {LONG} x"),
+        (f"<body><div id=cookie-notice>{LONG}</div><div><p>{LONG}{LONG}</p><p>Short.</p><p>{LONG}{LONG}</p></div><ul><li><a href=x>one two three</a></li></ul><form>{LONG}</form>", f"{LONG}{LONG} Short. {LONG}{LONG}"),
+        (f"<script>if (a<b) '</p>'</script><style>p{{}}</style><!-- <p>{LONG}</p> --><article title='a>b'><h1>T</h1>{LONG}", f"T {LONG}"),
+        (f"<article><header><h1>Title</h1></header><p>{LONG} <a href=x>a link</a></p><nav>no</nav></article>", f"Title {LONG} a link"),
+    ],
+)
+def test_html_rules(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_html_odd_rows(spark):
+    df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>" * 3000, 2), (1, "u", "<p>" * 3000, 2)], "page_id long, url string, html string, text int")
+    assert [r.n_chars for r in html_text.extract_text(df).collect()] == [0, 0, 0]
+    assert html_text.extract_text(df.where("false")).count() == 0
+
+
+# ------------------------------------------------------------ personal data
+
+
+def test_surrogates_keep_format_and_coreference(docs):
+    text = "Mr. Peter Lopez (peter.lopez@mail.example.org) and Maria Lopez; call +1 (980) 555-6268 or 980-555-6268, 10.1.2.3, 4111 1111 1111 1111, 123-45-6789. Анна Иванова. MARIA is not Maria Lopez."
+    df = docs((1, text), (2, "From PETER.LOPEZ@mail.example.org, 10.1.2.3"), *ODD)
+    got = {r.doc_id: r for r in surrogates.replace_entities(df).collect()}
+    out = got[1].text
+    for raw in ("Peter", "Lopez", "peter.lopez", "555-6268", "10.1.2.3", "4111 1111", "123-45-6789", "Анна"):
+        assert raw not in out
+    phones = re.findall(r"\+1 \((\d{3})\) (\d{3}-\d{4}) or (\d{3})-(\d{3}-\d{4})", out)[0]
+    assert phones[:2] == phones[2:]
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", out)[0].replace(" ", "")
+    assert surrogates.luhn(card) == 0
+    names = re.findall(r"Mr\. (\w+) (\w+) \(.*? and (\w+) (\w+);", out)[0]
+    assert names[1] == names[3] and names[0] != names[2]
+    mail = re.search(r"\((\S+@\S+)\)", out)[1]
+    assert mail.lower() == re.search(r"From (\S+@\S+),", got[2].text)[1].lower() and re.search(r"[А-Яа-яё]{4,} [А-Яа-яё]{4,}\.", out)
+    assert got[3].text == "   " and got[1].n_entities > 9 and [r.text for r in surrogates.replace_entities(docs((1, None))).collect()] == [None]
+    assert surrogates.replace_entities(docs()).count() == 0
+
+
+def test_surrogates_are_distinct_and_no_entity(docs, monkeypatch):
+    monkeypatch.setattr(surrogates, "draw", lambda key, kind, value, attempt=0: f"9.9.{(int(value.split('.')[-1]) * 7 + attempt * 13) % 50}.{attempt}")
+    ips = [f"9.9.{k}.0" for k in range(5)] + [f"1.1.1.{k}" for k in range(60)]
+    df = docs(*((k, f"at {ip} now") for k, ip in enumerate(ips)))
+    assigned = surrogates.assign(df, b"k").collect()
+    drawn = [r.surrogate for r in assigned]
+    assert len(drawn) == len(set(drawn)) == len(ips) and not set(drawn) & set(ips)
+    want = {r.value: r.surrogate for r in assigned}
+    for few in (10_000, 3):  # sent along, or joined by document
+        texts = {r.doc_id: r.text for r in surrogates.replace_entities(df, b"k", max_overrides=few).collect()}
+        assert texts == {k: f"at {want[ip]} now" for k, ip in enumerate(ips)}
