@@ -1,6 +1,5 @@
 import pytest
-
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, mix_copies string"
+from odd_rows import SCHEMA
 
 
 @pytest.fixture(scope="session")
@@ -11,6 +10,3 @@ def docs(spark):
         return spark.createDataFrame([(i, t, None, source, None, 1, "x") for i, t in rows], SCHEMA)
 
     return make
-
-
-ODD = [(1, None), (2, ""), (3, "   "), (None, "some text here of a few words"), (4, "x"), (5, "é" * 50), (6, "word " * 30_000), (7, "\x00퟿ \n\n"), (7, "\x00퟿ \n\n")]

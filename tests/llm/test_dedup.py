@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 from tidemark.llm import components, exact_dedup, line_dedup, near_join
 

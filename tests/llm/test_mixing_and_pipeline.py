@@ -3,7 +3,7 @@ import re
 
 import duckdb
 import pytest
-from conftest import ODD, SCHEMA
+from odd_rows import ODD, SCHEMA
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -3,7 +3,7 @@ import re
 from html import unescape
 
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 from tidemark.llm import decontaminate, html_text, licenses, queries, surrogates
 

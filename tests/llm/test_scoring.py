@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from tidemark.llm import queries, quality, toxicity
