@@ -120,6 +120,11 @@ def test_data_tests_find_faults(spark):
     assert [r.change for r in quality.test_trend(log).where("test = 'a'").orderBy("run_id").collect()] == [None, 3]
 
 
+def test_failures_are_stored(spark, tmp_path):
+    quality.store_failures(quality.duplicated(spark.createDataFrame([(1,), (1,)], "k int"), "k"), str(tmp_path), "unique_k")
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "unique_k")).collect()] == [(1, 2)]
+
+
 def test_freshness_of_empty_table(spark):
     df = spark.createDataFrame([], "ts timestamp_ntz")
     assert quality.freshness(df, "ts", F.lit("2020-01-01").cast("timestamp_ntz"), 24, "s").first().status == "WARN"

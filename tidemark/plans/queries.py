@@ -172,10 +172,11 @@ def cast_formats(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT o_orderkey, md5(concat_ws('|', o_custkey, o_orderstatus, o_orderdate::DATE, CASE WHEN o_orderkey % 3 = 0 THEN '~null~' ELSE o_orderpriority END)) AS row_hash FROM orders")
+@query("""WITH t AS (SELECT o_orderkey, concat_ws('|', o_custkey, o_orderstatus, o_orderdate::DATE, CASE WHEN o_orderkey % 3 = 0 THEN '~null~' ELSE o_orderpriority END) AS x FROM orders)
+  SELECT o_orderkey, md5(x) AS row_hash, ('0x' || substr(sha256(x), 1, 16))::UBIGINT::VARCHAR AS row_hash64 FROM t""")
 def row_hash(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", keys.row_hash(["o_custkey", "o_orderstatus", F.to_date("o_orderdate"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))]).alias("row_hash"))
+    business = ["o_custkey", "o_orderstatus", F.to_date("o_orderdate"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))]
+    return table(spark, d, "orders").select("o_orderkey", keys.row_hash(business).alias("row_hash"), keys.row_hash64(business).cast("string").alias("row_hash64"))
 
 
 @query("SELECT l_orderkey, l_linenumber, md5(concat_ws('-', l_orderkey, l_linenumber)) AS sk, strftime(l_shipdate, '%Y%m%d')::INT AS date_key FROM lineitem")

@@ -27,7 +27,7 @@ def models(bronze: dict[str, DataFrame]) -> Callable[[str], DataFrame]:
 
 def enveloped(df: DataFrame, batch: Column, loaded_at: Column, changes: bool = False) -> DataFrame:
     """The load envelope; change columns are no part of the hash."""
-    business = [c for c in df.columns if c not in ("_cdc_flag", "_cdc_dsn", "_dq_errors", "_source_file", "_batch_id", "_loaded_at")]
+    business = [c for c in df.columns if c not in ("_cdc_flag", "_cdc_dsn", "_dq_errors", "_source_file", "_b", "_batch_id", "_loaded_at")]
     if changes and "_cdc_flag" not in df.columns:
         df = df.withColumns({"_cdc_flag": F.lit("I"), "_cdc_dsn": F.lit(0).cast("bigint")})
     return df.withColumns({"_batch_id": batch, "_loaded_at": loaded_at, "_row_hash": row_hash(business)})
@@ -63,7 +63,18 @@ def read_bronze(spark: SparkSession, folder: str, names: dict[str, str], loaded_
     return out
 
 
-def derived_bronze(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+class Lazy(dict):
+    """Tables by name, each planned when it is first asked for."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        made = super().__getitem__(name)
+        if callable(made) and not isinstance(made, DataFrame):
+            made = made()
+            self[name] = made
+        return made
+
+
+def derived_bronze(spark: SparkSession, d: str) -> Lazy:
     """Bronze tables from the given tables: orders are trades and customer actions, lineitem holdings and later
     trade states, events market, cash and watch rows, suppliers brokers and companies, parts securities."""
     t = lambda name: table(spark, d, name)
@@ -78,46 +89,47 @@ def derived_bronze(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     names = {c: F.lit("x ") for c in ("datedesc", "calendaryeardesc", "calendarqtrdesc", "calendarmonthdesc", "calendarweekdesc", "dayofweekdesc", "fiscalyeardesc", "fiscalqtrdesc")}
     second = lambda k: F.split("timevalue", ":")[k].cast("int")
     out = {
-        "date": days.select(F.date_format("day", "yyyyMMdd").cast("int").alias("sk_dateid"), F.col("day").alias("datevalue"), F.year("day").alias("calendaryearid"), F.quarter("day").alias("calendarqtrid"), F.month("day").alias("calendarmonthid"), F.weekofyear("day").alias("calendarweekid"), F.dayofweek("day").alias("dayofweeknum"), F.year("day").alias("fiscalyearid"), F.quarter("day").alias("fiscalqtrid"), (F.dayofweek("day") == 1).alias("holidayflag")).withColumns(names),
-        "time": seconds.select((second(0) * 3600 + second(1) * 60 + second(2)).alias("sk_timeid"), "timevalue", second(0).alias("hourid"), text("timevalue").alias("hourdesc"), second(1).alias("minuteid"), text("timevalue").alias("minutedesc"), second(2).alias("secondid"), text("timevalue").alias("seconddesc"), (second(0) >= 9).alias("markethoursflag"), (second(0) >= 8).alias("officehoursflag")),
-        "status_type": orders.select(F.lower("o_orderstatus").alias("st_id")).distinct().withColumn("st_name", F.concat(F.lit(" status "), F.col("st_id"))),
-        "trade_type": orders.select(F.substring("o_orderpriority", 1, 1).alias("tt_id")).distinct().select("tt_id", F.concat(F.lit("type "), F.col("tt_id")).alias("tt_name"), (F.col("tt_id").cast("int") % 2).alias("tt_is_sell"), (F.col("tt_id").cast("int") % 3).alias("tt_is_mrkt")),
-        "tax_rate": region.select(text("r_regionkey").alias("tx_id"), F.col("r_name").alias("tx_name"), (F.col("r_regionkey") / 100).cast("decimal(6,5)").alias("tx_rate")),
-        "industry": nation.select(text("n_nationkey").alias("in_id"), F.col("n_name").alias("in_name"), text("n_regionkey").alias("in_sc_id")),
-        "hr": sup.select(F.col("s_suppkey").cast("int").alias("employeeid"), (F.col("s_suppkey") / 10).cast("int").alias("managerid"), F.lit("Eve").alias("employeefirstname"), F.col("s_name").alias("employeelastname"), F.lit("x").alias("employeemi"), F.col("s_nationkey").alias("employeejobcode"), text("s_nationkey").alias("employeebranch"), F.lit(" ").alias("employeeoffice"), text("s_acctbal").alias("employeephone")),
-        "prospect": cust.select(text("c_custkey").alias("agencyid"), F.col("c_name").alias("lastname"), *[F.lit(" ").alias(c) for c in ("firstname", "middleinitial", "gender", "addressline1", "addressline2", "postalcode", "city", "state", "country", "phone", "maritalstatus", "ownorrentflag", "employer")], *[F.col("c_nationkey").alias(c) for c in ("income", "numbercars", "numberchildren", "age", "creditrating", "numbercreditcards")], money("c_acctbal", 0).alias("networth")),
-        "finwire_cmp": sup.select(F.lit("2000-01-01").cast("timestamp_ntz").alias("pts"), F.col("s_name").alias("companyname"), F.lpad(text("s_suppkey"), 10, "0").alias("cik"), F.lit("actv").alias("status"), text("s_nationkey").alias("industryid"), F.lit("AA").alias("sprating"), F.lit("1990-01-01").cast("date").alias("foundingdate"), *[F.lit(" ").alias(c) for c in ("addrline1", "addrline2", "postalcode", "city", "stateprovince", "country", "ceoname", "description")]),
-        "finwire_sec": part.select(F.lit("2000-01-02").cast("timestamp_ntz").alias("pts"), symbol("p_partkey").alias("symbol"), F.col("p_type").alias("issuetype"), F.lit("ACTV").alias("status"), F.col("p_name").alias("name"), F.col("p_brand").alias("exid"), F.col("p_size").cast("bigint").alias("shout"), F.lit("1995-01-01").cast("date").alias("firsttradedate"), F.lit("1994-01-01").cast("date").alias("firsttradeexchg"), F.lit(None).cast("decimal(10,4)").alias("dividend"), F.when(F.col("p_partkey") % 3 != 0, F.lpad(text("p_size"), 10, "0")).alias("cocik"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Supplier#"), F.lpad(text("p_size"), 9, "0"))).alias("coname")),
-        "trade_history": orders.select(F.col("o_orderkey").alias("th_t_id"), F.col("o_orderdate").alias("th_dts"), F.lower("o_orderstatus").alias("th_st_id")),
-        "mgmt_customer": orders.select(F.when(F.col("o_orderkey") % 10 == 9, "INACT").when(F.col("o_orderkey") % 2 == 0, "NEW").otherwise("UPDCUST").alias("actiontype"), F.col("o_orderdate").alias("actionts"), F.col("o_custkey").alias("c_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("c_l_name"), (F.col("o_orderkey") % 3).cast("int").alias("c_tier"), text("o_orderkey").alias("c_tax_id"), (F.col("o_custkey") % 5).cast("string").alias("c_lcl_tx_id")),
-        "mgmt_account": orders.select(F.when(F.col("o_orderkey") % 10 == 9, "CLOSEACCT").when(F.col("o_orderkey") % 2 == 0, "NEW").otherwise("UPDACCT").alias("actiontype"), F.col("o_orderdate").alias("actionts"), F.col("o_custkey").alias("ca_id"), F.col("o_custkey").alias("ca_c_id"), (F.col("o_custkey") % 7).alias("ca_b_id"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("ca_name"), (F.col("o_orderkey") % 3).cast("int").alias("ca_tax_st")),
+        "date": lambda: days.select(F.date_format("day", "yyyyMMdd").cast("int").alias("sk_dateid"), F.col("day").alias("datevalue"), F.year("day").alias("calendaryearid"), F.quarter("day").alias("calendarqtrid"), F.month("day").alias("calendarmonthid"), F.weekofyear("day").alias("calendarweekid"), F.dayofweek("day").alias("dayofweeknum"), F.year("day").alias("fiscalyearid"), F.quarter("day").alias("fiscalqtrid"), (F.dayofweek("day") == 1).alias("holidayflag")).withColumns(names),
+        "time": lambda: seconds.select((second(0) * 3600 + second(1) * 60 + second(2)).alias("sk_timeid"), "timevalue", second(0).alias("hourid"), text("timevalue").alias("hourdesc"), second(1).alias("minuteid"), text("timevalue").alias("minutedesc"), second(2).alias("secondid"), text("timevalue").alias("seconddesc"), (second(0) >= 9).alias("markethoursflag"), (second(0) >= 8).alias("officehoursflag")),
+        "status_type": lambda: orders.select(F.lower("o_orderstatus").alias("st_id")).distinct().withColumn("st_name", F.concat(F.lit(" status "), F.col("st_id"))),
+        "trade_type": lambda: orders.select(F.substring("o_orderpriority", 1, 1).alias("tt_id")).distinct().select("tt_id", F.concat(F.lit("type "), F.col("tt_id")).alias("tt_name"), (F.col("tt_id").cast("int") % 2).alias("tt_is_sell"), (F.col("tt_id").cast("int") % 3).alias("tt_is_mrkt")),
+        "tax_rate": lambda: region.select(text("r_regionkey").alias("tx_id"), F.col("r_name").alias("tx_name"), (F.col("r_regionkey") / 100).cast("decimal(6,5)").alias("tx_rate")),
+        "industry": lambda: nation.select(text("n_nationkey").alias("in_id"), F.col("n_name").alias("in_name"), text("n_regionkey").alias("in_sc_id")),
+        "hr": lambda: sup.select(F.col("s_suppkey").cast("int").alias("employeeid"), (F.col("s_suppkey") / 10).cast("int").alias("managerid"), F.lit("Eve").alias("employeefirstname"), F.col("s_name").alias("employeelastname"), F.lit("x").alias("employeemi"), F.col("s_nationkey").alias("employeejobcode"), text("s_nationkey").alias("employeebranch"), F.lit(" ").alias("employeeoffice"), text("s_acctbal").alias("employeephone")),
+        "prospect": lambda: cust.select(text("c_custkey").alias("agencyid"), F.col("c_name").alias("lastname"), *[F.lit(" ").alias(c) for c in ("firstname", "middleinitial", "gender", "addressline1", "addressline2", "postalcode", "city", "state", "country", "phone", "maritalstatus", "ownorrentflag", "employer")], *[F.col("c_nationkey").alias(c) for c in ("income", "numbercars", "numberchildren", "age", "creditrating", "numbercreditcards")], money("c_acctbal", 0).alias("networth")),
+        "finwire_cmp": lambda: sup.select(F.lit("2000-01-01").cast("timestamp_ntz").alias("pts"), F.col("s_name").alias("companyname"), F.lpad(text("s_suppkey"), 10, "0").alias("cik"), F.lit("actv").alias("status"), text("s_nationkey").alias("industryid"), F.lit("AA").alias("sprating"), F.lit("1990-01-01").cast("date").alias("foundingdate"), *[F.lit(" ").alias(c) for c in ("addrline1", "addrline2", "postalcode", "city", "stateprovince", "country", "ceoname", "description")]),
+        "finwire_sec": lambda: part.select(F.lit("2000-01-02").cast("timestamp_ntz").alias("pts"), symbol("p_partkey").alias("symbol"), F.col("p_type").alias("issuetype"), F.lit("ACTV").alias("status"), F.col("p_name").alias("name"), F.col("p_brand").alias("exid"), F.col("p_size").cast("bigint").alias("shout"), F.lit("1995-01-01").cast("date").alias("firsttradedate"), F.lit("1994-01-01").cast("date").alias("firsttradeexchg"), F.lit(None).cast("decimal(10,4)").alias("dividend"), F.when(F.col("p_partkey") % 3 != 0, F.lpad(text("p_size"), 10, "0")).alias("cocik"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Supplier#"), F.lpad(text("p_size"), 9, "0"))).alias("coname")),
+        "trade_history": lambda: orders.select(F.col("o_orderkey").alias("th_t_id"), F.col("o_orderdate").alias("th_dts"), F.lower("o_orderstatus").alias("th_st_id")),
+        "mgmt_customer": lambda: orders.select(F.when(F.col("o_orderkey") % 10 == 9, "INACT").when(F.col("o_orderkey") % 2 == 0, "NEW").otherwise("UPDCUST").alias("actiontype"), F.col("o_orderdate").alias("actionts"), F.col("o_custkey").alias("c_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("c_l_name"), (F.col("o_orderkey") % 3).cast("int").alias("c_tier"), text("o_orderkey").alias("c_tax_id"), (F.col("o_custkey") % 5).cast("string").alias("c_lcl_tx_id")),
+        "mgmt_account": lambda: orders.select(F.when(F.col("o_orderkey") % 10 == 9, "CLOSEACCT").when(F.col("o_orderkey") % 2 == 0, "NEW").otherwise("UPDACCT").alias("actiontype"), F.col("o_orderdate").alias("actionts"), F.col("o_custkey").alias("ca_id"), F.col("o_custkey").alias("ca_c_id"), (F.col("o_custkey") % 7).alias("ca_b_id"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("ca_name"), (F.col("o_orderkey") % 3).cast("int").alias("ca_tax_st")),
     }
     first = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    fin = first.groupBy(F.lpad(text("l_suppkey"), 10, "0").alias("cocik"), F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter")).agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(20,2)").alias("revenue"), F.count("*").alias("shout"), F.min(F.to_date("l_shipdate")).alias("qtrstartdate"), F.max(F.to_date("l_shipdate")).alias("postingdate"))
-    out["finwire_fin"] = fin.withColumns({"pts": F.lit("2000-01-03").cast("timestamp_ntz"), "coname": F.lit(None).cast("string"), "dilutedshout": F.col("shout")} | {c: F.col("revenue") for c in ("earnings", "inventory", "assets", "liabilities")} | {c: F.lit(None).cast("decimal(10,4)") for c in ("eps", "dilutedeps", "margin")})
-    out = {k: enveloped(v, one, at) for k, v in out.items()}
+    fin = lambda: first.groupBy(F.lpad(text("l_suppkey"), 10, "0").alias("cocik"), F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter")).agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(20,2)").alias("revenue"), F.count("*").alias("shout"), F.min(F.to_date("l_shipdate")).alias("qtrstartdate"), F.max(F.to_date("l_shipdate")).alias("postingdate"))
+    out["finwire_fin"] = lambda: fin().withColumns({"pts": F.lit("2000-01-03").cast("timestamp_ntz"), "coname": F.lit(None).cast("string"), "dilutedshout": F.col("shout")} | {c: F.col("revenue") for c in ("earnings", "inventory", "assets", "liabilities")} | {c: F.lit(None).cast("decimal(10,4)") for c in ("eps", "dilutedeps", "margin")})
+    out = {k: lambda v=v: enveloped(v(), one, at) for k, v in out.items()}
     # What the actions do not name stays empty, as in the source.
     want = {w.partition("=")[2].partition(":")[0] for w in silver.COLUMNS["customer"].split()}
-    out["mgmt_customer"] = out["mgmt_customer"].withColumns({c: F.lit(None).cast("date" if c == "c_dob" else "string") for c in sorted(want - set(out["mgmt_customer"].columns))})
+    named = out["mgmt_customer"]
+    out["mgmt_customer"] = lambda: named().withColumns({c: F.lit(None).cast("date" if c == "c_dob" else "string") for c in sorted(want - set(named().columns))})
     trade = lambda df, key, ts, status, qty, price, account: df.select("_b", F.col(key).alias("t_id"), F.col(ts).alias("t_dts"), F.lower(status).alias("t_st_id"), F.substring("o_orderpriority", 1, 1).alias("t_tt_id"), (F.col(key) % 2 == 0).alias("t_is_cash"), symbol("sym").alias("t_s_symb"), F.col(qty).cast("int").alias("t_qty"), money(price).alias("t_bid_price"), F.col(account).alias("t_ca_id"), F.lit(" an executor ").alias("t_exec_name"), *[money(price).alias(c) for c in ("t_trade_price", "t_chrg", "t_comm", "t_tax")])
-    b1 = trade(orders.withColumns({"_b": one, "sym": F.col("o_orderkey") % 2500, "qty": F.col("o_custkey")}), "o_orderkey", "o_orderdate", "o_orderstatus", "qty", "o_totalprice", "o_custkey")
-    b23 = trade(later.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("sym", F.col("l_partkey")), "o_orderkey", "l_shipdate", "l_returnflag", "l_quantity", "l_extendedprice", "o_custkey")
+    b1 = lambda: trade(orders.withColumns({"_b": one, "sym": F.col("o_orderkey") % 2500, "qty": F.col("o_custkey")}), "o_orderkey", "o_orderdate", "o_orderstatus", "qty", "o_totalprice", "o_custkey")
+    b23 = lambda: trade(later.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("sym", F.col("l_partkey")), "o_orderkey", "l_shipdate", "l_returnflag", "l_quantity", "l_extendedprice", "o_custkey")
     day = F.to_date("ts")
-    market = ev.groupBy(day.alias("dm_date"), symbol("user_id").alias("dm_s_symb")).agg(F.max("value").alias("dm_close"), F.max("value").alias("dm_high"), F.min("value").alias("dm_low"), F.count("*").alias("dm_vol"))
+    market = lambda: ev.groupBy(day.alias("dm_date"), symbol("user_id").alias("dm_s_symb")).agg(F.max("value").alias("dm_close"), F.max("value").alias("dm_high"), F.min("value").alias("dm_low"), F.count("*").alias("dm_vol"))
     changes = {
-        "trade": b1.unionByName(b23),
-        "holding_history": li.select(F.col("l_linenumber").alias("_b"), F.col("l_orderkey").alias("hh_h_t_id"), F.col("l_orderkey").alias("hh_t_id"), F.col("l_linenumber").alias("hh_before_qty"), F.col("l_quantity").cast("int").alias("hh_after_qty")).withColumn("_b", F.least("_b", F.lit(3))),
-        "watch_history": ev.where("event_type in ('click', 'view')").select(one.alias("_b"), F.col("user_id").alias("w_c_id"), symbol("event_id").alias("w_s_symb"), F.col("ts").alias("w_dts"), F.when(F.col("event_type") == "click", "actv").otherwise("cncl").alias("w_action")),
-        "daily_market": market.withColumn("_b", one),
-        "cash_transaction": ev.where("event_type = 'purchase'").select(one.alias("_b"), F.col("user_id").alias("ct_ca_id"), F.col("ts").alias("ct_dts"), F.col("value").cast("decimal(15,2)").alias("ct_amt"), F.col("props").alias("ct_name")),
-        "account": cust.select((F.col("c_custkey") % 2 + 2).cast("int").alias("_b"), F.col("c_custkey").alias("ca_id"), (F.col("c_custkey") % 7).alias("ca_b_id"), F.col("c_custkey").alias("ca_c_id"), F.col("c_mktsegment").alias("ca_name"), F.col("c_nationkey").alias("ca_tax_st"), F.lit("actv").alias("ca_st_id")),
-        "customer": cust.select((F.col("c_custkey") % 2 + 2).cast("int").alias("_b"), F.col("c_custkey").alias("c_id"), F.col("c_name").alias("c_l_name"), F.col("c_nationkey").alias("c_tier"), F.lit("inac").alias("c_st_id"), *[F.lit(None).cast("date" if c == "c_dob" else "string").alias(c) for c in sorted(want - {"c_id", "c_l_name", "c_tier"})]),
+        "trade": lambda: b1().unionByName(b23()),
+        "holding_history": lambda: li.select(F.col("l_linenumber").alias("_b"), F.col("l_orderkey").alias("hh_h_t_id"), F.col("l_orderkey").alias("hh_t_id"), F.col("l_linenumber").alias("hh_before_qty"), F.col("l_quantity").cast("int").alias("hh_after_qty")).withColumn("_b", F.least("_b", F.lit(3))),
+        "watch_history": lambda: ev.where("event_type in ('click', 'view')").select(one.alias("_b"), F.col("user_id").alias("w_c_id"), symbol("event_id").alias("w_s_symb"), F.col("ts").alias("w_dts"), F.when(F.col("event_type") == "click", "actv").otherwise("cncl").alias("w_action")),
+        "daily_market": lambda: market().withColumn("_b", one),
+        "cash_transaction": lambda: ev.where("event_type = 'purchase'").select(one.alias("_b"), F.col("user_id").alias("ct_ca_id"), F.col("ts").alias("ct_dts"), F.col("value").cast("decimal(15,2)").alias("ct_amt"), F.col("props").alias("ct_name")),
+        "account": lambda: cust.select((F.col("c_custkey") % 2 + 2).cast("int").alias("_b"), F.col("c_custkey").alias("ca_id"), (F.col("c_custkey") % 7).alias("ca_b_id"), F.col("c_custkey").alias("ca_c_id"), F.col("c_mktsegment").alias("ca_name"), F.col("c_nationkey").alias("ca_tax_st"), F.lit("actv").alias("ca_st_id")),
+        "customer": lambda: cust.select((F.col("c_custkey") % 2 + 2).cast("int").alias("_b"), F.col("c_custkey").alias("c_id"), F.col("c_name").alias("c_l_name"), F.col("c_nationkey").alias("c_tier"), F.lit("inac").alias("c_st_id"), *[F.lit(None).cast("date" if c == "c_dob" else "string").alias(c) for c in sorted(want - {"c_id", "c_l_name", "c_tier"})]),
     }
     for k, v in changes.items():
-        out[k] = enveloped(v.withColumnRenamed("_b", "_batch_id"), F.col("_batch_id"), at, changes=True)
-    calendar = ev.select("event_id").where("event_id < 3").select((F.col("event_id") + 1).cast("int").alias("_batch_id"), F.concat(F.lit("2024-2-"), (F.col("event_id") + 1).cast("string")).alias("value"))
-    out["batch_control"] = control.batch_calendar(calendar)
-    return out
+        out[k] = lambda v=v: enveloped(v().withColumnRenamed("_b", "_batch_id"), F.col("_batch_id"), at, changes=True)
+    calendar = lambda: ev.select("event_id").where("event_id < 3").select((F.col("event_id") + 1).cast("int").alias("_batch_id"), F.concat(F.lit("2024-2-"), (F.col("event_id") + 1).cast("string")).alias("value"))
+    out["batch_control"] = lambda: control.batch_calendar(calendar())
+    return Lazy(out)
 
 
 def _query(name: str):
@@ -134,7 +146,28 @@ _TRADES = """trades AS (
   SELECT o_orderkey AS trade_id, upper(o_orderstatus) AS status_id, o_orderdate AS ts, 1 AS b, o_orderkey % 2500 AS sym, o_custkey::INT AS qty, o_totalprice::DECIMAL(12,2) AS price, o_custkey, o_orderpriority FROM orders
   UNION ALL SELECT o_orderkey, upper(l_returnflag), l_shipdate, l_linenumber + 1, l_partkey, l_quantity::INT, l_extendedprice::DECIMAL(12,2), o_custkey, o_orderpriority FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber IN (1, 2))"""
 
+_HASHED = """hashed AS (SELECT *, md5(concat_ws('|', trade_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), lower(status_id), substr(o_orderpriority, 1, 1), trade_id % 2 = 0, 'sym' || sym, qty, price, o_custkey, ' an executor ', price, price, price, price)) AS h FROM trades)"""
+
 ORACLE = {
+    "wh_silver_trade": f"WITH {_TRADES}, {_HASHED}" + """ SELECT trade_id, status_id, substr(o_orderpriority, 1, 1) AS trade_type_id, trade_id % 2 = 0 AS is_cash, 'SYM' || sym AS symbol, qty AS quantity, price AS bid_price, o_custkey AS customer_account_id, 'an executor' AS execution_name,
+      price AS trade_price, price AS charge, price AS commission, price AS tax, 'I' AS cdc_flag, ts AS trade_timestamp, b AS _batch_id FROM hashed QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY b DESC, ts DESC, h DESC) = 1""",
+    "wh_silver_account": """WITH ev AS (
+        SELECT o_custkey AS account_id, o_custkey % 7 AS broker_id, o_custkey AS customer_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS account_name, (o_orderkey % 3)::INT AS tax_status,
+          CASE WHEN o_orderkey % 10 = 9 THEN 'INAC' WHEN o_orderkey % 2 = 0 THEN 'ACTV' END AS status_id, CASE WHEN o_orderkey % 2 = 0 THEN 'I' ELSE 'U' END AS cdc_flag, o_orderdate AS action_ts, 1 AS b,
+          md5(concat_ws('|', CASE WHEN o_orderkey % 10 = 9 THEN 'CLOSEACCT' WHEN o_orderkey % 2 = 0 THEN 'NEW' ELSE 'UPDACCT' END, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_custkey, o_custkey, o_custkey % 7,
+            CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE '~null~' END, o_orderkey % 3)) AS h, 'bronze_mgmt_account' AS src FROM orders
+        UNION ALL SELECT c_custkey, c_custkey % 7, c_custkey, c_mktsegment, c_nationkey, 'ACTV', 'I', NULL, (c_custkey % 2 + 2)::INT, '', 'bronze_account' FROM customer
+      ), filled AS (
+        SELECT * REPLACE (last_value(account_name IGNORE NULLS) OVER w AS account_name, last_value(status_id IGNORE NULLS) OVER w AS status_id) FROM ev
+        WINDOW w AS (PARTITION BY account_id ORDER BY b, action_ts, h ROWS UNBOUNDED PRECEDING)
+      ), daily AS (
+        SELECT * FROM filled QUALIFY row_number() OVER (PARTITION BY account_id, b, action_ts::DATE ORDER BY action_ts DESC, h DESC) = 1
+      ), changed AS (
+        SELECT * FROM (SELECT *, row_number() OVER w AS n, lag(status_id) OVER w AS s0, lag(account_name) OVER w AS a0 FROM daily WINDOW w AS (PARTITION BY account_id ORDER BY b, action_ts, h))
+        WHERE n = 1 OR status_id IS DISTINCT FROM s0 OR account_name IS DISTINCT FROM a0
+      ), dated AS (SELECT *, CASE WHEN b = 1 THEN action_ts::DATE ELSE DATE '2024-02-01' + (b - 1) END AS valid_from_date FROM changed)
+      SELECT account_id, broker_id, customer_id, account_name, tax_status, status_id, cdc_flag, b AS _batch_id, src AS _source_table, valid_from_date, coalesce(lead(valid_from_date) OVER w - 1, DATE '9999-12-31') AS valid_to_date,
+        lead(account_id) OVER w IS NULL AS is_current, md5(concat_ws('-', account_id, valid_from_date, b)) AS account_version_sk FROM dated WINDOW w AS (PARTITION BY account_id ORDER BY valid_from_date, b, action_ts, h)""",
     "wh_silver_trade_type": "SELECT DISTINCT substr(o_orderpriority, 1, 1) AS trade_type_id, 'type ' || substr(o_orderpriority, 1, 1) AS trade_type_name, substr(o_orderpriority, 1, 1)::INT % 2 = 1 AS is_sell_flag, substr(o_orderpriority, 1, 1)::INT % 3 = 1 AS is_market_flag, 1 AS _batch_id, TIMESTAMP '2024-03-01' AS _loaded_at FROM orders",
     "wh_silver_industry": "SELECT n_nationkey::VARCHAR AS industry_id, n_name AS industry_name, n_regionkey::VARCHAR AS sector_id, 1 AS _batch_id, TIMESTAMP '2024-03-01' AS _loaded_at FROM nation",
     "wh_silver_status_type": "SELECT DISTINCT upper(o_orderstatus) AS status_id, 'status ' || lower(o_orderstatus) AS status_name, 1 AS _batch_id, TIMESTAMP '2024-03-01' AS _loaded_at FROM orders",
