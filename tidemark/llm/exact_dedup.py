@@ -37,9 +37,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.string()), pa.array(list(groups.values()), pa.list_(pa.int64()))], ["norm", "ids"])
 
 
-def _splitter(norm: Column) -> tuple[Column, Column]:
+def _splitter(text: Column) -> tuple[Column, Column]:
     """What partitions are split by: equal for equal texts, and small, as a sample of it reaches the driver."""
-    return F.substring(norm, 1, 32), F.xxhash64(norm)
+    return lower_az(F.substring(text, 1, 32)), F.xxhash64(lower_az(text))
 
 
 def _runs(largest: bool):
@@ -79,8 +79,9 @@ def duplicate_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     return labelled.join(sizes, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def _first_of_runs(text_at: int, id_at: int, largest: bool, sorted_runs: bool):
+def _first_of_runs(names: list[str], largest: bool, sorted_runs: bool):
     """Keep one row of equal texts: of each batch (before the shuffle), or of each run of neighbours (after it)."""
+    text_at, id_at = names.index("text"), names.index("doc_id")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -96,7 +97,7 @@ def _first_of_runs(text_at: int, id_at: int, largest: bool, sorted_runs: bool):
                 elif key not in best or _better(i, best[key][1], largest):
                     best[key] = (k, i)
             rows = rows if sorted_runs else sorted(k for k, _ in best.values())
-            yield batch.take(pa.array(rows, pa.int64()))
+            yield batch.take(pa.array(rows, pa.int64())).select(names)
 
     return choose
 
@@ -107,8 +108,11 @@ def drop_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     Of repeated rows with one id and one text, one stays.
     """
     largest, names = keep == "largest", docs.columns
-    at = names.index("text"), names.index("doc_id")
-    folded = docs.mapInArrow(_first_of_runs(*at, largest, False), docs.schema)
+    folded = docs.mapInArrow(_first_of_runs(names, largest, False), docs.schema)
     ident = F.col("doc_id").desc_nulls_last() if largest else F.col("doc_id").asc_nulls_last()
     norm = lower_az(F.col("text"))
-    return folded.repartitionByRange(*_splitter(norm)).sortWithinPartitions(norm, ident).mapInArrow(_first_of_runs(*at, largest, True), docs.schema)
+    # The splitters are columns of their own, so that sorting looks at whole texts only where these agree.
+    split = [c.alias(f"split_{k}_of_text") for k, c in enumerate(_splitter(F.col("text")))]
+    rows = folded.select(*names, *split)
+    rows = rows.repartitionByRange(*rows.columns[-2:]).sortWithinPartitions(*rows.columns[-2:], norm, ident)
+    return rows.mapInArrow(_first_of_runs(names, largest, True), docs.schema)
