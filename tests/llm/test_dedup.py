@@ -182,8 +182,7 @@ def test_lines_against_brute_force(docs, monkeypatch, part):
                 places[i, k] = n
                 norms.setdefault(n, None)
     names = list(norms)
-    hashes = line_dedup.WordHashes(seed=5)
-    blocks = line_dedup.simhash_blocks(hashes.array([w for n in names for w in n.split()]), np.array([len(n.split()) for n in names]))
+    blocks = line_dedup.simhash_blocks(line_dedup.hash_words([w.encode() for n in names for w in n.split()]), np.array([len(n.split()) for n in names]))
     parent = list(range(len(names)))
 
     def find(x):

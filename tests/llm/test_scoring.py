@@ -54,7 +54,7 @@ def test_quality_against_labels(spark):
 
 def test_votes_tell_kinds_apart():
     good, table, shout = "++++++++", "+++++-++", "++---+++"
-    share, by, post = quality.fit_votes({good: 9000, table: 1, shout: 500, "-+++++++": 400})
+    share, by, post = quality.fit_votes({good: 9000, table: 1, shout: 500, "-+++++--": 400})
     assert post[good] > 0.99 and post[shout] < 0.01 and 0.08 < share < 0.12
     assert quality.fit_votes({})[2] == {}
 
