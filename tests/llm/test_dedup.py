@@ -207,5 +207,66 @@ def test_lines_against_brute_force(docs, monkeypatch, part):
         assert (out[i].n_lines, out[i].n_dropped, out[i].text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
 
 
+def brute_lines(rows):
+    """(doc_id, line) that go, by all pairs of distinct lines; no blocks."""
+    places, norms = {}, {}
+    for i, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            n = line_dedup.normal_line(line)
+            if i is not None and n:
+                places[i, k] = n
+                norms[n] = n
+
+    def find(x):
+        while norms[x] != x:
+            x = norms[x]
+        return x
+
+    names = list(norms)
+    for a in range(len(names)):
+        for b in range(a):
+            if find(names[a]) != find(names[b]) and line_dedup.similar(names[a], names[b]):
+                norms[find(names[a])] = find(names[b])
+    first = {}
+    for place in sorted(places):
+        first.setdefault(find(places[place]), place)
+    return {p for p, n in places.items() if first[find(n)] != p}
+
+
+def edited(rng, w, changes, inserts=0):
+    w = list(w)
+    for k in rng.sample(range(len(w)), changes):
+        w[k] = "".join(rng.choice("abcdefghijklmnop") for _ in w[k])
+    for _ in range(inserts):
+        w.insert(rng.randrange(len(w) + 1), "".join(rng.choice("abcdefghijklmnop") for _ in range(5)))
+    return w
+
+
+def test_line_recall_against_all_pairs(docs):
+    """Words, words changed, words inserted, least recall; a pair of lines in two documents each."""
+    kinds = [(5, 1, 0, 1.0), (7, 1, 0, 1.0), (9, 1, 0, 1.0), (9, 0, 1, 1.0), (15, 0, 1, 0.99), (20, 2, 0, 0.99), (40, 2, 0, 0.99), (40, 3, 0, 0.99), (20, 4, 0, 0.95)]
+    rng, parts = random.Random(8), []
+    for n, (size, changes, inserts, _) in enumerate(kinds):
+        part = []
+        for i in range(1000 * n, 1000 * n + 300, 2):
+            base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([2, 4, 6, 8]))) for _ in range(size)]
+            part += [(i, " ".join(base)), (i + 1, " ".join(edited(rng, base, changes, inserts)))]
+        parts.append(part)
+    got = {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(docs(*sum(parts, [])).repartition(3)).collect()}
+    for part, (*kind, least) in zip(parts, kinds):
+        want = brute_lines(part)
+        found = {p for p in got if p[0] // 1000 == part[0][0] // 1000}
+        print(kind, len(found), len(want))
+        assert found <= want and len(found) >= least * len(want) and len(want) > 30
+
+
+def test_similar_is_exact():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 25)))
+        b = "".join(c if rng.random() > 0.15 else rng.choice("abc ") for c in a)
+        assert line_dedup.similar(a, b) == (line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
+
+
 def test_lines_of_odd_rows(docs):
     assert line_dedup.dedup_lines(docs(*ODD)).count() == len(ODD) and line_dedup.dedup_lines(docs()).count() == 0
