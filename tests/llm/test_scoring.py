@@ -59,6 +59,16 @@ def test_votes_tell_kinds_apart():
     assert quality.fit_votes({})[2] == {}
 
 
+@pytest.mark.parametrize("size", [20_000, 1_000_000, 30_000_000])
+@pytest.mark.parametrize("share", [0.001, 0.01, 0.02, 0.03])
+def test_rare_kinds_of_one_labeller_are_bad_at_any_size(size, share):
+    for k in range(len(quality.LABELLERS)):
+        kind = "+" * k + "-" + "+" * (len(quality.LABELLERS) - k - 1)
+        n = int(size * share)
+        post = quality.fit_votes({"++++++++": size * 9 // 10 - n, "+++0++++": size // 10, kind: n})[2]
+        assert post[kind] < 0.1 and post["++++++++"] > 0.99 and post["+++0++++"] > 0.9
+
+
 def test_quality_of_odd_rows(docs):
     df = docs(*ODD, *((k, "The house of the man is at the end of the road.") for k in range(10, 60)), *((k, "BUY!! NOW!! IT!! IS!! CHEAP!! " * 9) for k in range(60, 80)))
     got = quality.score_quality(df).collect()

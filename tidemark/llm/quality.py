@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 FIT_ROWS = 12_000
 #: Dimensions of the hashed feature space.
 DIMS = 1 << 14
-#: Kinds of bad documents with a smaller share than this are not told from good ones.
-RARE = 0.002
+#: Patterns are weighed as if the corpus had so many documents, so that verdicts depend on shares alone, not on its size.
+SCALE = 10_000.0
+#: The prior: documents of each class; votes of each labeller on good documents and on a kind of bad.
+PRIOR, GOOD_VOTES, BAD_VOTES = 1.0, 20_000.0, 20.0
+#: Believed share of rejects: by any labeller of good documents, by its own labeller of a kind of bad, by the others.
+GOOD_REJECT, OWN_REJECT, OTHER_REJECT = 0.00005, 0.98, 0.05
 #: Documents scored below this are rejected.
 THRESHOLD = 0.5
 
@@ -109,13 +113,15 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.float32()))], ["votes", "at", "x"])
 
 
-def fit_votes(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.ndarray, dict[str, float]]:
+def fit_votes(patterns: dict[str, int], rounds: int = 5000) -> tuple[float, np.ndarray, dict[str, float]]:
     """EM over a latent class: good, or one kind of bad for each labeller; labellers are independent given it.
 
     Kinds of bad are needed because labellers overlap and exclude each other: a page of table cells is rejected
     by one labeller and kept by the rest, which two classes would take for that labeller's mistake. Abstentions
-    count as missing. A kind with under ``RARE`` of the documents vanishes, and its documents are judged by the
-    other classes. Returns the share of bad documents, each labeller's (reject, keep) shares by class bad and
+    count as missing. How often good documents are rejected by one labeller alone and how common that labeller's
+    kind of bad is can't be told apart by counts; fixed Dirichlet priors on shares and votes settle it: a good
+    document is seldom rejected. Counts are scaled to ``SCALE`` documents, so the prior weighs the same at any size.
+    Rounds end when no posterior moves. Returns the share of bad documents, each labeller's (reject, keep) shares by class bad and
     good, and the posterior of "good" by pattern.
     """
     keys = sorted(patterns)
@@ -123,14 +129,17 @@ def fit_votes(patterns: dict[str, int], rounds: int = 100) -> tuple[float, np.nd
         return 0.0, np.zeros((2, len(LABELLERS), 2)), {}
     v = np.array([["-0+".index(c) for c in k] for k in keys], dtype=np.int64)
     w = np.array([patterns[k] for k in keys], dtype=float)
+    w *= SCALE / w.sum()
     eye = np.eye(3)[v][:, :, [0, 2]]  # pattern, labeller, (reject, keep)
     rejects = eye[:, :, 0]
     r = np.column_stack([~rejects.any(1), rejects / np.maximum(1, rejects.sum(1, keepdims=True))]).astype(float)
+    reject = np.full((r.shape[1], len(LABELLERS)), OTHER_REJECT)
+    reject[0], reject[np.arange(1, r.shape[1]), np.arange(len(LABELLERS))] = GOOD_REJECT, OWN_REJECT
+    believed = np.stack([reject, 1 - reject], axis=2) * np.array([GOOD_VOTES] + [BAD_VOTES] * len(LABELLERS))[:, None, None]
     for _ in range(rounds):
-        found = w @ r
-        found[1:] = np.maximum(found[1:] - RARE * w.sum(), 0.0)
-        share = (found + 1e-300) / (found.sum() + 1e-300)
-        theta = np.einsum("pc,plv->clv", w[:, None] * r, eye) + 0.05
+        found = w @ r + PRIOR
+        share = found / found.sum()
+        theta = np.einsum("pc,plv->clv", w[:, None] * r, eye) + believed
         theta /= theta.sum(2, keepdims=True)
         log = np.log(share) + np.einsum("plv,clv->pc", eye, np.log(theta))
         new = np.exp(log - log.max(1, keepdims=True))
