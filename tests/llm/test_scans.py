@@ -164,3 +164,13 @@ def test_surrogates_are_distinct_and_no_entity(docs, monkeypatch):
     for few in (10_000, 3):  # sent along, or joined by document
         texts = {r.doc_id: r.text for r in surrogates.replace_entities(df, b"k", max_overrides=few).collect()}
         assert texts == {k: f"at {want[ip]} now" for k, ip in enumerate(ips)}
+
+
+def test_html_articles_that_are_teasers_do_not_hide_the_page():
+    text = "This is the text of the page, and it is as long as the text of a page has to be for us to see that it is the text. " * 3
+    teaser = "A teaser of the other page that is in the list of what you may like to read on this site."
+    body = f"<div id=content><p>{text}</p><p>{text}</p></div>"
+    for cards in (f"<aside><article><p>{teaser}</p></article></aside>", f"<footer><main><p>{teaser}</p></main></footer>", f"<div class=cards><article><p>{teaser}</p></article></div>"):
+        got = html_text.main_text(f"<body>{body}{cards}</body>")
+        assert got.count(text.strip()) == 2
+    assert html_text.main_text(f"<body><article><p>{text}</p></article><div><p>{teaser}</p></div></body>") == text.strip()

@@ -8,7 +8,9 @@ blocks the label of their nearest decided neighbours; where these differ, near-g
 ones follow the article they stand in.
 
 Character references are decoded; white space inside a block becomes one space. A null page is empty; so is the
-text of a page without good blocks. A page with article or main elements has its text there alone. Markup that breaks off counts as closed at the end. A null page_id or url is
+text of a page without good blocks. A page has its text in its article or main elements alone
+if these, outside of menus, sidebars and the like, hold at least half of the good text; else (teaser cards) they
+count for nothing and the two passes judge all blocks alike. Markup that breaks off counts as closed at the end. A null page_id or url is
 carried. Repeated rows get equal results. Empty table: empty result. Extra columns are unread. Pages are whole.
 """
 
@@ -114,7 +116,7 @@ def blocks_of(html: str) -> list[tuple[str, float, bool, bool, bool]]:
                 stack.pop()
             within = any(s[2] for s in stack)
             outside = name in OUTSIDE and not (name == "header" and within) or (name not in ("body", "html", "article", "main") and bool(MARKS.search(values)))
-            stack.append((name, outside, name in ("article", "main")))
+            stack.append((name, outside, name in ("article", "main") and not any(s[1] for s in stack)))
     close()
     return out
 
@@ -166,6 +168,12 @@ def second_pass(first: list[str], blocks: list[tuple]) -> list[bool]:
 def main_text(html: str | None) -> str:
     blocks = blocks_of(html or "")
     kept = second_pass([first_pass(*b) for b in blocks], blocks)
+    if any(b[3] for b in blocks):
+        alike = [(text, links, outside, False, heading) for text, links, outside, _, heading in blocks]
+        of_all = second_pass([first_pass(*b) for b in alike], alike)
+        within = sum(len(b[0]) for b, good in zip(blocks, kept) if good)
+        if sum(len(b[0]) for b, good in zip(blocks, of_all) if good and not b[3]) > within:
+            kept = of_all
     return " ".join(b[0] for b, good in zip(blocks, kept) if good)
 
 
