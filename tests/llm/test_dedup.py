@@ -45,9 +45,20 @@ def test_exact_rows_stay_once(docs):
 def test_hot_text_is_folded_before_the_shuffle():
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(["t"] * 1000 + ["u"]), pa.array(range(1001), pa.int64())], ["norm", "id"])
-    (out,) = exact_dedup._fold(iter([batch]))
-    assert out.num_rows == 2 and len(out.column(1)[0]) == 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1001), pa.int64()), pa.array(["t"] * 1000 + ["u"])], ["doc_id", "text"])
+    (out,) = exact_dedup._fold([], True)(iter([batch]))
+    assert out.num_rows == 2 and out.column(3).to_pylist() == [999, 1000] and out.column(4).to_pylist() == [1000, 1]
+
+
+def test_exact_hot_groups(docs):
+    """A text that most rows share is labelled by broadcast, all others by a join; both give whole groups."""
+    rows = [(k, "Hot") for k in range(300)] + [(k, f"t{k % 40}") for k in range(300, 400)] + [(None, "hot"), (None, "alone")]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicate_groups(docs(*rows).repartition(5)).collect()}
+    want = {(k, 0, 301, k == 0) for k in range(300)} | {(None, 0, 301, False), (None, None, 1, True)}
+    for k in range(300, 400):
+        same = [x for x in range(300, 400) if x % 40 == k % 40]
+        want.add((k, min(same), len(same), k == min(same)))
+    assert got == want
 
 
 # ------------------------------------------------------------ near

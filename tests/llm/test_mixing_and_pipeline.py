@@ -60,16 +60,32 @@ def test_mix_against_brute_force(spark):
     taken = {}
     assert len(got) == len(rows)
     for r in got:
-        assert r.mix_size == size(r.text) and r.mix_source_size == per[r.source] and abs(r.mix_target - want[r.source]) < 1e-6 and 0 <= r.mix_copies <= 2
-        taken[r.source] = taken.get(r.source, 0) + r.mix_size * r.mix_copies
-    assert all(abs(taken[s] - want[s]) <= 0.25 * want[s] + 40 for s in order)
+        s = r.doc.source
+        assert r.mix_size == size(r.doc.text) and r.mix_source_size == per[s] and abs(r.mix_target - want[s]) < 1e-6 and 0 <= r.mix_copies <= 2
+        taken[s] = taken.get(s, 0) + r.mix_size * r.mix_copies
+    for s in order:  # within four standard deviations of the Bernoulli draws
+        part = want[s] / per[s] % 1 if per[s] else 0
+        sizes = [size(r[1]) for r in rows if r[3] == s]
+        assert abs(taken[s] - want[s]) <= 4 * (part * (1 - part) * sum(n * n for n in sizes)) ** 0.5 + 1e-6
     again = mixing.mixed(df.repartition(9)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     out = mixing.emit(df)
     assert out.columns == [*df.columns, "mix_copy"] and out.count() == sum(r.mix_copies for r in got)
+    assert {r.mix_copies for r in out.collect()} == {"x"}
     assert mixing.mixed(df.where("false")).count() == 0
 
 
+def test_mix_of_clashing_names_null_ids_and_a_long_text(spark):
+    rows = [(None, f"w{k} " * 20, "a", "s", 1, "t", "m") for k in range(400)] + [(None, "w w", "b", "s", 1, "t", "m")] * 3 + [(7, "long " * 200_000, "c", "s", 1, "t", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_source string, mix_size int, mix_target string, MIX_COPY string")
+    out = mixing.emit(df)
+    assert out.columns == [*df.columns, "mix_copy_"]
+    assert {tuple(r)[3:7] for r in out.collect()} == {("s", 1, "t", "m")}
+    mix = mixing.mixed(df).where("doc.source = 'a'").agg({"mix_target": "max", "mix_source_size": "max"}).first()
+    taken = sum(r.mix_size * r.mix_copies for r in mixing.mixed(df).where("doc.source = 'a'").collect())
+    assert abs(taken - mix[0]) <= 4 * (0.25 * 400 * 20**2) ** 0.5
+
+
 def test_stages_take_effect(spark, docs):
     clean = ["The house of the man is at the end of the road and it is old.", "A day in the life of a cat that is not at home with us now."]
     body = [f"{a} and the number of it is {k} of the {k * 7} that we have in the town of {k}" for k in range(30) for a in clean]

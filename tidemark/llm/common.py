@@ -19,24 +19,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session (tests) may leave it unset."""
     set_to = spark.sparkContext.getCheckpointDir()
     if set_to is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-tidemark-"))
         set_to = spark.sparkContext.getCheckpointDir()
     return set_to
 
 
+_written: list[str] = []
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs the re-read of files, not a recomputation.
+    Cuts the lineage: a lost executor costs the re-read of files, not a recomputation. The table stays until
+    ``discard`` or, at the end of a job, ``clear`` removes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _written.remove(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables of ``durable`` that no later step reads."""
+    for df in frames:
+        _remove(df.sparkSession, df.durable_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this process has written with ``durable``: their results must have been used by then."""
+    for path in list(_written):
+        _remove(spark, path)
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, with underscores added until no column has that name (case does not matter)."""
+    names = {c.lower() for c in taken}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
 
 
 def is_small(ids: DataFrame, bound: int = MAX_BROADCAST_IDS) -> bool:

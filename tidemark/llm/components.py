@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import discard, durable
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``edges`` (src, dst) to (node, root): root is the smallest node of the component.
 
     Minima are aggregated before each shuffle and joins are plain equi-joins, so a node with very many
-    neighbours is split like any skewed key. Every round is written to the shared folder. Self edges and
+    neighbours is split like any skewed key. Every round is written to the shared folder, and the one before removed. Self edges and
     repeated edges have no effect; an empty table gives an empty result. Only counters reach the driver.
     """
     now, seen = durable(_distinct(edges), "edges"), None
@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(
                 now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct()
             )
-        seen = tuple(state)
+        seen, before = tuple(state), now
         now = durable(_distinct(_small_star(_distinct(_large_star(now)))), "edges")
+        discard(before)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -13,7 +13,7 @@ n - 1 - 2e pairs of benchmark items. This loses nothing, at any size of corpus.
 
 The benchmark is read in blocks of at most about ``BLOCK_WORDS`` words, each sent to
 the tasks by a broadcast of its own, so none grows with it; documents are never shuffled. Words are runs of letters and digits, case-folded. Items without words
-never match. Null or empty texts are clean. A null doc_id is carried. Repeated rows get equal results. Empty
+never match; an item without an id shows as -1. Null or empty texts are clean. A null doc_id is carried. Repeated rows get equal results. Empty
 tables give empty results, or clean documents. Extra columns are carried by ``drop_contaminated`` and unread.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64
+from tidemark.llm.common import durable, mix64
 
 SIMILARITY = 0.8
 #: Walks, samples of output positions per walk and item size, and positions per sample.
@@ -81,9 +81,7 @@ class Index:
         self.number = {w: k + 1 for k, w in enumerate(sorted({x for _, words in items for x in words}))}
         self.items = [(i, np.array([self.number[x] for x in w], dtype=np.int64)) for i, w in items]
         rng = np.random.default_rng(424242)
-        #: Random bits of the walks: walk, output position, word.
-        self.most = max((len(w) for _, w in self.items), default=1)
-        self.bits = rng.integers(0, 2, (WALKS, int(self.most * 1.3) + 1, len(self.number) + 1), dtype=np.uint8)
+        self._bits: dict[tuple[int, int], np.ndarray] = {}
         self.codes = rng.integers(1, 1 << 63, len(self.number) + 1, dtype=np.uint64)
         self.pairs = np.zeros(PAIR_SLOTS, dtype=bool)
         classes: dict[int, list[int]] = defaultdict(list)
@@ -105,18 +103,29 @@ class Index:
                     for s in range(SAMPLES):
                         found[walk * SAMPLES + s, int(self.keys(emitted, picks[walk, s])[0])].add(k)
             self.tables.append((pairs, span, reach, picks, dict(found)))
+        self._bits.clear()
 
     def slots(self, words: np.ndarray) -> np.ndarray:
         """Slots of the adjacent pairs of a sequence."""
         return (words[:-1] * 1_000_003 + words[1:]) * 7_919 % PAIR_SLOTS
 
+    def bits(self, walk: int, at: int) -> np.ndarray:
+        """Random bits of each word for 64 output positions of a walk, by a hash; few are kept, so long items cost no memory."""
+        if (walk, at) not in self._bits:
+            if len(self._bits) >= 16 * WALKS:
+                self._bits.clear()
+            with np.errstate(over="ignore"):
+                self._bits[walk, at] = mix64(self.codes + np.uint64(walk + WALKS * at + 1) * np.uint64(0xD6E8FEB86659FD93))
+        return self._bits[walk, at]
+
     def walk(self, words: np.ndarray, starts: np.ndarray, walk: int, reach: int) -> np.ndarray:
         """The first ``reach`` words that the walks from ``starts`` emit: reach x starts."""
         padded, at = np.append(words, 0), starts.copy()
         out = np.empty((reach, len(starts)), dtype=np.int64)
         for j in range(reach):
             out[j] = padded[at]
-            at = np.minimum(at + self.bits[walk, j][out[j]], len(words))
+            step = self.bits(walk, j // 64)[out[j]] >> np.uint64(j % 64) & np.uint64(1)
+            at = np.minimum(at + step.view(np.int64), len(words))
         return out
 
     def keys(self, emitted: np.ndarray, picks: np.ndarray) -> np.ndarray:
@@ -190,21 +199,21 @@ class Index:
         yield from self.match(run)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark as indexes of bounded size; one of them is on the driver at a time while it is built."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """The benchmark as indexes of bounded size, each with whether there are several; one is on the driver at a time."""
     sized = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = sized.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // (5 * BLOCK_WORDS)))
     for k in range(n):
         part = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Index(sorted((r["item_id"] if r["item_id"] is not None else -1, words_of(r["text"])) for r in part.collect()))
+        yield Index(sorted((r["item_id"] if r["item_id"] is not None else -1, words_of(r["text"])) for r in part.collect())), n > 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, contaminated, items (item ids found, ascending), similarity (the highest of its
     items'; 0 if clean)."""
     parts = []
-    for index in _blocks(benchmark):
+    for index, several in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -215,7 +224,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 )
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-        parts.append(rows.mapInArrow(run, "doc_id long, row long, items array<long>, similarity double"))
+        found = rows.mapInArrow(run, "doc_id long, row long, items array<long>, similarity double")
+        parts.append(durable(found, "found") if several else found)  # written, so that no index outlives its block
     out = parts[0]
     if len(parts) > 1:  # a row per document and block; repeated rows are kept apart by their number
         for part in parts[1:]:
@@ -228,11 +238,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item was found; a pass without a shuffle for each block of items."""
     at = docs.columns.index("text")
-    for index in _blocks(benchmark):
+    for index, several in _blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not f for f in index.match_texts(batch.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = durable(docs, "clean") if several else docs
     return docs

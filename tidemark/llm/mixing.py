@@ -3,8 +3,8 @@
 Tokens are aggregated per source, targets are shared out by weight below a ceiling, and each document is
 emitted floor(rate) times plus once more with probability equal to the fraction, by a seeded hash of its id.
 
-Nulls: a null source is a source of its own, the last one; a null text has size 0; a null doc_id hashes like
-the text "null". Empty table: empty result. Sources without any token have target 0 and rate 0. Repeated rows
+Nulls: a null source is a source of its own, the last one; a null text has size 0; a row with a null doc_id draws by
+the hash of its text. Columns may have any names: rows travel as one value. Empty table: empty result. Sources without any token have target 0 and rate 0. Repeated rows
 get the same number of copies. Reruns agree: nothing depends on partitions or row order.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -45,19 +45,19 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: f
 
 
 def mixed(docs: DataFrame, seed: str = "mix", **params) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the row)."""
-    sized = docs.withColumn("mix_size", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long"))
-    targets = source_targets(sized.select("source", F.col("mix_size").alias("size")), **params)
+    """Each row of ``docs`` as one value (doc), with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes it)."""
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("mix_size"))
+    targets = source_targets(sized.select(F.col("doc.source").alias("source"), F.col("mix_size").alias("size")), **params)
     named = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     # A row per source: Spark broadcasts it while it is small and splits skewed keys beyond.
-    joined = sized.join(named, F.col("source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
+    joined = sized.join(named, F.col("doc.source").eqNullSafe(F.col("mix_source")), "left").drop("mix_source")
     rate = F.coalesce(F.try_divide(F.col("mix_target"), F.col("mix_source_size").cast("double")), F.lit(0.0))
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12)
-    draw = F.conv(digits, 16, 10).cast("long") / F.lit(float(16**12))
+    ident = F.coalesce(F.col("doc.doc_id").cast("string"), F.md5(F.coalesce(F.col("doc.text"), F.lit(""))))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), ident)), 1, 12), 16, 10).cast("long") / F.lit(float(16**12))
     return joined.withColumn("mix_copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
 
 
 def emit(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: each document's row as many times as it is taken, with its copy number (mix_copy)."""
+    """The mix itself: each document's row as many times as it is taken, with its copy number (mix_copy, or the next free name)."""
     taken = mixed(docs, **params).where("mix_copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")).alias("mix_copy"))
+    return taken.select("doc.*", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")).alias(free_name("mix_copy", docs.columns)))

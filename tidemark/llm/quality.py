@@ -3,7 +3,8 @@
 Heuristic labellers vote on every document (reject, abstain, keep). Expectation-maximisation over the counts
 of vote patterns of all documents estimates how accurate each labeller is on good documents and on several
 kinds of bad ones, and how common these are; the posterior of a document's pattern is its soft label. A hashed linear scorer is fitted to the soft labels
-of a bounded sample (``FIT_ROWS``, chosen by hash of the id) and scores every document.
+of a bounded sample (``FIT_ROWS``, chosen by hash of the id and the text, and never more than twice that) and scores
+every document.
 
 Vote patterns are bounded by 3 to the number of labellers, whatever the corpus holds; they and the model are
 all that reaches the driver. Features read whole texts. A null or empty text has no words: labellers abstain
@@ -175,8 +176,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict]:
     patterns = {r["votes"]: r["n"] for r in docs.select("text").mapInArrow(_vote_batches, "votes string").groupBy("votes").agg(F.count("*").alias("n")).collect()}
     share, theta, posterior = fit_votes(patterns)
     every = max(1, -(-sum(patterns.values()) // fit_rows))
-    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(every)) == 0).select("text")
-    rows = sample.mapInArrow(_feature_batches, "votes string, at array<int>, x array<float>").toPandas()
+    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(11)), F.lit(every)) == 0).select("text")
+    rows = sample.mapInArrow(_feature_batches, "votes string, at array<int>, x array<float>").limit(2 * fit_rows).toPandas()
     target = np.array([posterior.get(k, 0.5) for k in rows["votes"]])
     weights = fit_scorer([np.asarray(a) for a in rows["at"]], [np.asarray(a) for a in rows["x"]], target)
     names = ("reject", "keep")

@@ -53,7 +53,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mix.select(
-        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        F.col("doc.doc_id").alias("doc_id"), F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
     )
 
@@ -71,7 +71,7 @@ ORACLE = {
     """,
     "op10_mixing": r"""
         WITH d AS (
-          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+          SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
         ), s AS (
           SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
         ), w AS (
@@ -89,7 +89,7 @@ ORACLE = {
         ), r AS (
           SELECT d.doc_id, d.size, t.source_size, t.target,
                  CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-                 ('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
+                 ('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, md5(coalesce(d.text, '')))), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS draw
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
         )
         SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r

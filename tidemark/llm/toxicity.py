@@ -8,7 +8,8 @@ score distribution of clean text and its K from the highest segments of clean do
 expectation under ``CHANCE`` is a toxic passage; the normalised scores of a document's passages are summed and
 a logistic curve, fitted on labelled rows whose own counts are left out, maps the sum to a score from 0 to 1.
 
-Labels are learnt from rows that the caller names; at most about ``FIT_ROWS`` of them, chosen by hash. Scores
+Labels are learnt from rows that the caller names; at most about ``FIT_ROWS`` of them, chosen by hash. The calibration
+is fitted on about ``CURVE_ROWS`` of these, chosen by hash of id and text, and on twice as many at most. Scores
 read the text alone, all of it. Null or empty texts score like texts without any toxic token. A null doc_id is
 carried and scored. Repeated rows get equal scores; a label repeated with another value counts as toxic. Without
 any label of one of the classes, every score is 0. Empty table: empty result. Extra columns are unread.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS = 150_000
+FIT_ROWS, CURVE_ROWS = 150_000, 20_000
 SLOTS = 1 << 18
 #: Letters of the prefixes that stand behind a word, and the weight of each prior in documents.
 PREFIXES, PRIOR = (7, 5), 4.0
@@ -180,15 +181,16 @@ def _steps(model: Model):
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(toxic, text) of the documents that ``labels`` (doc_id, toxic) names; the labels' number is bounded, so they are broadcast."""
+    """(toxic, text, pick) of the documents that ``labels`` (doc_id, toxic) names; the labels' number is bounded, so they are broadcast."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     every = max(1, -(-known.count() // fit_rows))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text", F.lit(5)).alias("pick"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, curve_rows: int = 20_000) -> Model:
-    rows = labelled_rows(docs, labels, fit_rows)
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, curve_rows: int = CURVE_ROWS) -> Model:
+    picked = labelled_rows(docs, labels, fit_rows)
+    rows = picked.select("toxic", "text")
     got = rows.mapInArrow(_count, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     counts, total = np.zeros((2, 3 * SLOTS)), got[got.slot == -1]
     at = got[got.slot >= 0]
@@ -198,8 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, curve_rows
     if not model.usable:
         return model
     every = max(1, -(-sum(n) // curve_rows))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0) if every > 1 else rows
-    seen = sample.mapInArrow(_steps(model), "toxic int, words long, found array<double>, histogram array<long>").toPandas()
+    sample = picked.where(F.pmod("pick", F.lit(every)) == 0).select("toxic", "text") if every > 1 else rows
+    seen = sample.mapInArrow(_steps(model), "toxic int, words long, found array<double>, histogram array<long>").limit(2 * curve_rows).toPandas()
     clean = seen[seen.toxic == 0]
     if len(clean):
         model.lam = _solve_lambda(np.arange(FLOOR, 12.0, 0.1)[: len(clean.histogram.iloc[0])] + 0.05, np.sum([np.asarray(h) for h in clean.histogram], axis=0).astype(float))
