@@ -123,6 +123,30 @@ def test_near_join_of_blocks(docs, monkeypatch):
     test_near_join_against_brute_force(docs)
 
 
+def test_near_documents_of_one_id(docs):
+    """Two texts of one id are two documents: copies of each are found, and a clean one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    df = docs((5, a), (5, b), (8, b + " end"), (9, a + " end"), (5, c))
+    assert sorted((r.doc_id, r.text[:1]) for r in near_join.drop_near_duplicates(df).collect()) == [(5, "a"), (5, "b"), (5, "c")]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in near_join.near_duplicates(df).collect()) == [(5, 5, 0), (5, 5, 1), (5, 5, 1), (8, 5, 1), (9, 5, 1)]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_forest_drops_like_counted_links(docs, monkeypatch, block):
+    monkeypatch.setattr(near_join, "BLOCK_DOCS", block)
+    rng, rows = random.Random(13), []
+    for g in range(12):
+        base = words(rng, 80)
+        for k in range(rng.choice([1, 3, 30])):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(80)] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows) - 40, " ".join(w)))
+    df = docs(*rows).repartition(3)
+    want = sorted(r.doc_id for r in near_join.near_duplicates(df).collect() if r.doc_id == r.class_id)
+    assert sorted(r.doc_id for r in near_join.drop_near_duplicates(df).collect()) == want and len(want) < len(rows)
+
+
 def test_near_rows(docs):
     a = " ".join(f"w{k}" for k in range(60))
     df = docs((50, a), (20, a + " end"), (70, "other words that stand alone here"), (20, a + " end"), *ODD)

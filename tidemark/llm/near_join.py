@@ -11,8 +11,8 @@ built and come back through their class. Each pair is counted in the first tree
 
 Texts are lower-cased and split at white space. A text of fewer than five words is one shingle, so it matches
 equal texts alone; null and empty texts are one class of equal texts without shingles. Rows with a null doc_id
-are returned as classes of their own, without links. Repeated rows count as copies. If one doc_id comes with
-several texts they count as one document, compared by one of them. Empty table: empty result.
+are returned as classes of their own, without links. Repeated rows count as copies. Rows with one doc_id and several
+texts are several documents: a document is known by its place, doc_id and hash of the text. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, durable, mix64, semi_or_anti
+from tidemark.llm.common import WordHashes, durable, free_name, mix64, semi_or_anti
 from tidemark.llm.components import connected_components
 
 WORDS = 5
@@ -68,7 +68,7 @@ def _coefficients() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, digest, n, short, full): per tree a hash of the short and of the full prefix."""
+    """(place, text) to (place, digest, n, short, full): per tree a hash of the short and of the full prefix."""
     a, b = _coefficients()
     hashes = WordHashes()
     short = min(SHORTEST, DEPTH)
@@ -121,14 +121,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush()
         least = np.concatenate(low) if low else np.zeros((0, len(a)), dtype=np.uint32)
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, (len(ids) + 1) * TREES, TREES, dtype=np.int32)), pa.array(prefixes(least, d).ravel())) for d in (short, DEPTH)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "digest", "n", "short", "full"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists], ["place", "digest", "n", "short", "full"])
 
 
-def _verified(group: list[tuple], tree: int, same_block: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def _verified(group: list[tuple], tree: int, same_block: bool, forest_only: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, bytes]]]:
     """Exact links within a bucket: per member the number of linked texts and documents, and a spanning forest.
 
     ``group`` has (rep, copies, side, buckets by tree, shingle set) per member; between two blocks only pairs of
-    members of different sides count. A pair that met in an earlier tree is left to that tree.
+    members of different sides count. A pair that met in an earlier tree is left to that tree. ``forest_only``: pairs
+    that are connected already are passed over, and all members are held against the first before any others, so the
+    work in a group of near copies grows with its size, not with its square; links are then not counted.
     """
     n = len(group)
     links, docs, parent = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), list(range(n))
@@ -136,7 +138,7 @@ def _verified(group: list[tuple], tree: int, same_block: bool) -> tuple[np.ndarr
     side = np.array([g[2] for g in group])
     met = np.array([g[3] for g in group], dtype=np.int64).reshape(n, TREES)
     size = np.array([len(g[4]) for g in group], dtype=np.int64)
-    forest: list[tuple[int, int]] = []
+    forest: list[tuple[bytes, bytes]] = []
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -145,37 +147,44 @@ def _verified(group: list[tuple], tree: int, same_block: bool) -> tuple[np.ndarr
         return x
 
     step = 128
-    for i0 in range(0, n, step):
-        for j0 in range(i0, n, step):
-            i, j = np.arange(i0, min(n, i0 + step)), np.arange(j0, min(n, j0 + step))
-            ok = np.minimum(size[i][:, None], size[j][None]) >= THRESHOLD * np.maximum(size[i][:, None], size[j][None])
-            if i0 == j0:
-                ok &= i[:, None] < j[None]
-            if not same_block:
-                ok &= side[i][:, None] != side[j][None]
-            for t in range(tree):
-                ok &= (met[i, t][:, None] != met[j, t][None]) | (met[i, t][:, None] == 0)
-            rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-            if not len(rows):
+    blocks = [(np.arange(i0, min(n, i0 + step)), np.arange(j0, min(n, j0 + step))) for i0 in range(0, n, step) for j0 in range(i0, n, step)]
+    if forest_only and n > 8:
+        blocks = [(np.arange(1), np.arange(j0, min(n, j0 + step))) for j0 in range(0, n, step)] + blocks
+    for i, j in blocks:
+        if forest_only:
+            roots = np.array([find(k) for k in range(i[0], i[-1] + 1)])[:, None] != np.array([find(k) for k in range(j[0], j[-1] + 1)])[None]
+            if not roots.any():
                 continue
-            if ok.sum() <= 4:
-                common = np.zeros(ok.shape)
-                for x, y in zip(*np.nonzero(ok)):
-                    common[x, y] = len(np.intersect1d(group[i[x]][4], group[j[y]][4], assume_unique=True))
-            else:
-                common = np.zeros(ok.shape)
-                common[np.ix_(rows, cols)] = _intersections([group[k][4] for k in i[rows]], [group[k][4] for k in j[cols]])
-            union = size[i][:, None] + size[j][None] - common
-            linked = ok & (common >= THRESHOLD * union - 1e-9) & (union > 0)
-            links[i] += linked.sum(1)
-            docs[i] += linked @ copies[j]
-            links[j] += linked.sum(0)
-            docs[j] += copies[i] @ linked
-            for x, y in zip(*np.nonzero(linked)):
-                p, q = find(int(i[x])), find(int(j[y]))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    forest.append((group[i[x]][0], group[j[y]][0]))
+        ok = np.minimum(size[i][:, None], size[j][None]) >= THRESHOLD * np.maximum(size[i][:, None], size[j][None])
+        if forest_only:
+            ok &= roots
+        if i[0] == j[0]:
+            ok &= i[:, None] < j[None]
+        if not same_block:
+            ok &= side[i][:, None] != side[j][None]
+        for t in range(tree):
+            ok &= (met[i, t][:, None] != met[j, t][None]) | (met[i, t][:, None] == 0)
+        rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+        if not len(rows):
+            continue
+        if ok.sum() <= 4:
+            common = np.zeros(ok.shape)
+            for x, y in zip(*np.nonzero(ok)):
+                common[x, y] = len(np.intersect1d(group[i[x]][4], group[j[y]][4], assume_unique=True))
+        else:
+            common = np.zeros(ok.shape)
+            common[np.ix_(rows, cols)] = _intersections([group[k][4] for k in i[rows]], [group[k][4] for k in j[cols]])
+        union = size[i][:, None] + size[j][None] - common
+        linked = ok & (common >= THRESHOLD * union - 1e-9) & (union > 0)
+        links[i] += linked.sum(1)
+        docs[i] += linked @ copies[j]
+        links[j] += linked.sum(0)
+        docs[j] += copies[i] @ linked
+        for x, y in zip(*np.nonzero(linked)):
+            p, q = find(int(i[x])), find(int(j[y]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                forest.append((group[i[x]][0], group[j[y]][0]))
     return links, docs, forest
 
 
@@ -198,38 +207,41 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(forest_only: bool):
     """Rows sorted by bucket and block pair to link counts (dst null) and forest edges (dst set)."""
-    hashes = WordHashes(most=200_000)
-    key, group = None, []
 
-    def results() -> tuple[list, list, list, list]:
-        links, docs, forest = _verified(group, key[0], key[2] == key[3]) if len(group) > 1 else ([], [], [])
-        at = [k for k in range(len(links)) if links[k]]
-        src = [group[k][0] for k in at] + [max(e) for e in forest]
-        dst = [None] * len(at) + [min(e) for e in forest]
-        return src, dst, [int(links[k]) for k in at] + [0] * len(forest), [int(docs[k]) for k in at] + [0] * len(forest)
-
-    def rows(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f[k]], pa.int64()) for k in range(4)], ["src", "dst", "links", "docs"])
-
-    for batch in batches:
-        found = []
-        c = {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}
-        for row in zip(c["tree"], c["bucket"], c["lo"], c["hi"], c["rep"], c["copies"], c["side"], c["met"], c["text"]):
-            if row[:4] != key:
-                if key is not None:
-                    found.append(results())
-                key, group = row[:4], []
-            words = (row[8] or "").lower().split()
-            group.append((row[4], row[5], row[6], row[7], np.unique(shingles(hashes.array(words)))))
-        yield rows(found)
-    if key is not None:
-        yield rows([results()])
-
-
-def _links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(src, dst, links, docs) rows of all verified links between representatives."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(most=200_000)
+        key, group = None, []
+
+        def results() -> list[tuple]:
+            if len(group) < 2:
+                return []
+            links, docs, forest = _verified(group, key[0], key[2] == key[3], forest_only)
+            counted = [] if forest_only else [(group[k][0], None, int(links[k]), int(docs[k])) for k in np.flatnonzero(links).tolist()]
+            return counted + [(max(e), min(e), 0, 0) for e in forest]
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], ["src", "dst", "links", "docs"])
+
+        for batch in batches:
+            found = []
+            c = {name: batch.column(k).to_pylist() for k, name in enumerate(batch.schema.names)}
+            for row in zip(c["tree"], c["bucket"], c["lo"], c["hi"], c["rep"], c["copies"], c["side"], c["met"], c["text"]):
+                if row[:4] != key:
+                    found += results()
+                    key, group = row[:4], []
+                words = (row[8] or "").lower().split()
+                group.append((row[4], row[5], row[6], row[7], np.unique(shingles(hashes.array(words)))))
+            yield rows(found)
+        yield rows(results())
+
+    return run
+
+
+def _links(docs: DataFrame, reps: DataFrame, forest_only: bool) -> DataFrame:
+    """(src, dst, links, docs) rows of all verified links between representatives, or of a spanning forest of them."""
     trees = reps.where("n > 0").select("rep", "copies", "n", F.posexplode(F.arrays_zip("short", "full")).alias("tree", "label"))
     trees = trees.select("rep", "copies", "n", "tree", F.col("label.short").alias("short"), F.col("label.full").alias("full"))
     # Prefixes are counted before anything else is shuffled by them; those of one document alone have no partner.
@@ -253,11 +265,39 @@ def _links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = durable(rows, "candidates")
-    texts = semi_or_anti(docs.select(F.col("doc_id").alias("rep"), "text"), rows.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    texts = semi_or_anti(docs.select(_place().alias("rep"), "text"), rows.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
     dealt = rows.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tree", "bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rep", "copies", "side", "met", "text")
     keys = ["tree", "bucket", "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify, "src long, dst long, links long, docs long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(forest_only), "src binary, dst binary, links long, docs long")
+
+
+def _place() -> Column:
+    """A document's place, doc_id and hash of the text, as 16 bytes that sort like the two."""
+    hexed = [F.lpad(F.hex(c), 16, "0") for c in (F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63))), F.xxhash64("text"))]
+    return F.unhex(F.concat(*hexed))
+
+
+def _id_of(place: str) -> Column:
+    unsigned = F.conv(F.hex(F.substring(F.col(place), 1, 8)), 16, 10).cast("decimal(20,0)")
+    return (unsigned - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
+def _classes(docs: DataFrame, forest_only: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(place, digest) of all documents, (digest, rep, copies, root) of distinct texts, and the links found.
+
+    ``docs`` has no null doc_id. root is the smallest place of the connected group.
+    """
+    placed = docs.select(_place().alias("place"), "text")
+    signed = durable(placed.mapInArrow(_sign, "place binary, digest binary, n long, short array<long>, full array<long>"), "signatures")
+    # Equal digests have equal signatures, so any one of them stands for the class.
+    reps = durable(
+        signed.groupBy("digest").agg(F.min("place").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("short").alias("short"), F.first("full").alias("full")), "classes"
+    )
+    found = durable(_links(docs, reps, forest_only), "links")
+    groups = connected_components(found.where("dst is not null").select("src", "dst"))
+    classes = reps.select("digest", "rep", "copies").join(groups, F.col("node") == F.col("rep"), "left").select("digest", "rep", "copies", F.coalesce("root", "rep").alias("root"))
+    return signed.select("place", "digest"), classes, found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -267,28 +307,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sequence; n_copies: documents with that sequence; n_links: other sequences with similarity of 0.8 or more;
     n_linked_docs: documents that have those sequences.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    known = docs.where("doc_id is not null")
-    signed = durable(known.mapInArrow(_sign, "doc_id long, digest binary, n long, short array<long>, full array<long>"), "signatures")
-    # Equal digests have equal signatures, so any one of them stands for the class.
-    reps = durable(
-        signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("short").alias("short"), F.first("full").alias("full")), "classes"
-    )
-    found = durable(_links(known, reps), "links")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed, classes, found = _classes(docs.where("doc_id is not null"), False)
     counts = found.where("dst is null").groupBy("src").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked_docs"))
-    groups = connected_components(found.where("dst is not null").select("src", "dst"))
-    classes = reps.select("digest", "rep", "copies").join(counts, F.col("src") == F.col("rep"), "left").join(groups, F.col("node") == F.col("rep"), "left")
-    classes = classes.select("digest", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("text_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_docs", F.lit(0)).alias("n_linked_docs"))
-    out = signed.select("doc_id", "digest").join(classes, "digest").drop("digest")
+    zero = F.lit(0).cast("long")
+    classes = classes.join(counts, F.col("src") == F.col("rep"), "left").select(
+        "digest", _id_of("root").alias("class_id"), _id_of("rep").alias("text_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_linked_docs", zero).alias("n_linked_docs")
+    )
+    out = signed.join(classes, "digest").select(_id_of("place").alias("doc_id"), "class_id", "text_id", "n_copies", "n_links", "n_linked_docs")
     none = F.lit(None).cast("long")
-    nameless = docs.where("doc_id is null").select("doc_id", none.alias("class_id"), none.alias("text_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_linked_docs"))
+    nameless = docs.where("doc_id is null").select("doc_id", none.alias("class_id"), none.alias("text_id"), F.lit(1).cast("long").alias("n_copies"), zero.alias("n_links"), zero.alias("n_linked_docs"))
     return out.unionByName(nameless)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each connected group: the smallest doc_id stays.
+    """The rows of ``docs`` without all but one document of each connected group: the smallest doc_id stays, of
+    several texts with that id the one with the smallest hash.
 
-    Rows with a null doc_id stay. Repeated rows of the doc_id that stays all stay.
+    Rows with a null doc_id stay. Repeated rows of the document that stays all stay. Links are not counted, so
+    the work in a group of near copies grows with its size.
     """
-    dropped = durable(near_duplicates(docs).where("doc_id <> class_id").select("doc_id"), "dropped")
-    return semi_or_anti(docs, dropped, "doc_id", "left_anti")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed, classes, _ = _classes(plain.where("doc_id is not null"), True)
+    dropped = durable(signed.join(classes, "digest").where("place <> root").select("place"), "dropped")
+    place = free_name("place", docs.columns)
+    named = docs.withColumn(place, F.when(F.col("doc_id").isNotNull(), _place()))
+    return semi_or_anti(named, dropped.withColumnRenamed("place", place), place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
