@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import queries, warehouse
+from tidemark.plans import queries, warehouse, warehouse_sql
 
 QUERIES = queries.QUERIES | warehouse.QUERIES
-ORACLE = queries.ORACLE | warehouse.ORACLE
+ORACLE = queries.ORACLE | warehouse_sql.ORACLE
