@@ -174,3 +174,29 @@ def test_html_articles_that_are_teasers_do_not_hide_the_page():
         got = html_text.main_text(f"<body>{body}{cards}</body>")
         assert got.count(text.strip()) == 2
     assert html_text.main_text(f"<body><article><p>{text}</p></article><div><p>{teaser}</p></div></body>") == text.strip()
+
+
+def test_html_without_article_elements(spark):
+    """The two passes find the article when no element names it: token F1 against the article of each page."""
+    from collections import Counter
+
+    f1 = []
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        want = Counter(html_text.main_text(r.html).split())
+        got = Counter(html_text.main_text(re.sub(r"</?(article|main)\b[^>]*>", "", r.html)).split())
+        f1.append(2 * sum((want & got).values()) / max(1, sum(want.values()) + sum(got.values())))
+    assert sum(f1) / len(f1) >= 0.95 and min(f1) >= 0.9
+
+
+def test_html_of_other_languages_and_stray_quotes():
+    russian = "Это длинный абзац текста, который нужно сохранить целиком, потому что он и есть текст страницы. " * 3
+    chinese = "这是一个很长的中文段落应该被完整地保留下来因为它是页面的正文没有任何链接" * 8
+    for text in (russian.strip(), chinese):
+        assert html_text.main_text(f"<nav><a href=x>menu</a></nav><div><p>{text}</p><ul><li><a href=y>{text}</a></li></ul></div><footer>end</footer>") == text
+    assert html_text.main_text('<article><p title="5"">Alpha beta</p><p class="x>Gamma</p></article>') == "Alpha beta Gamma"
+
+
+def test_html_of_a_long_page():
+    text = "<p>" + "The end of the road is where it is and that is all there is to it. " * 20 + "</p>"
+    page = f"<body>{text * 2000}<p title='never closed {'<b' * 20_000}"
+    assert len(html_text.main_text(page)) > 2_000_000

@@ -1,17 +1,21 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. The first pass judges each block by its length, the density of
-its stop-words and the density of its links: good, bad, short or near-good. Blocks inside menus, headers,
-footers, sidebars, notices, adverts, forms, comment threads, scripts and styles are bad at once; blocks inside
-an article or main element that are not links are good or, if short, undecided. The second pass gives undecided
-blocks the label of their nearest decided neighbours; where these differ, near-good blocks are good and short
-ones follow the article they stand in.
-
-Character references are decoded; white space inside a block becomes one space. A null page is empty; so is the
-text of a page without good blocks. A page has its text in its article or main elements alone
-if these, outside of menus, sidebars and the like, hold at least half of the good text; else (teaser cards) they
-count for nothing and the two passes judge all blocks alike. Markup that breaks off counts as closed at the end. A null page_id or url is
-carried. Repeated rows get equal results. Empty table: empty result. Extra columns are unread. Pages are whole.
+A page is cut into blocks at block-level tags. Blocks inside menus, headers, footers, sidebars, notices, adverts,
+forms, comment threads, scripts and styles are left out by their marks. The first pass judges all others by length,
+density of stop-words and density of links: good, bad (links), or undecided (short, few stop-words, some links). The
+second pass gives undecided blocks the label of their nearest decided neighbours: good where both are good or where
+there is but one and it is good, and where they differ if the block is near-good itself, heads a good block, or has a
+near-good block between it and the bad one. Neighbours are looked for on a block's own side of article and main
+elements, so what stands around an article does not follow it; such elements decide nothing else. Undecided blocks
+without decided neighbours are good if no block of the page is; those in article elements go before others.
+
+Stop-words are those of four languages. A page none of whose longer blocks has some is in another language: there
+length and links decide alone.
+
+Character references are decoded; white space inside a block becomes one space. Quotes that nothing closes end with
+their tag, and markup that breaks off counts as closed at the end. A null page is empty; so is the text of a page
+without good blocks. A null page_id or url is carried. Repeated rows get equal results. Empty table: empty result.
+Extra columns are unread. Pages are whole.
 """
 
 from __future__ import annotations
@@ -44,12 +48,12 @@ STOP = frozenset(
     "al como con del el ella en es esta este la las lo los más no o para pero por que se sin su sus un una y ya".split()
 )
 
-#: Characters of a short block, of a long one; link share of a bad block; stop-word shares of near-good and good ones.
-SHORT, LONG, LINKS, SOME_STOP, MANY_STOP = 70, 200, 0.3, 0.12, 0.22
-#: Link share of a bad block inside an article element.
-LINKED = 0.8
+#: Characters of a short block and of a long one; link shares over which a block is undecided, and bad; stop-word shares
+#: of near-good and good ones.
+SHORT, LONG, LINKS, LINKED, SOME_STOP, MANY_STOP = 70, 200, 0.3, 0.8, 0.12, 0.22
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"<]*\"|=\s*'[^'<]*'|=)*)(?:>|$)", re.S)
+_ODD = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‚‘’…–—·"
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLOSE = {name: re.compile(rf"</{name}\s*[^>]*(?:>|$)", re.I) for name in RAW}
 
@@ -121,60 +125,67 @@ def blocks_of(html: str) -> list[tuple[str, float, bool, bool, bool]]:
     return out
 
 
-def first_pass(text: str, links: float, outside: bool, inside: bool, heading: bool) -> str:
-    """good, bad, near (near-good) or short."""
-    if outside or links > (LINKED if inside else LINKS):
-        return "bad"
+def stop_share(text: str) -> float:
     words = text.split()
-    stop = sum(w.lower().strip(".,;:!?\"'()") in STOP for w in words) / len(words)
-    if len(text) < SHORT:
-        return "short" if links == 0 or inside else "bad"
-    if stop >= MANY_STOP:
-        return "good" if len(text) >= LONG or inside else "near"
-    if stop >= SOME_STOP:
-        return "good" if inside else "near"
-    return "near" if inside else "bad"
-
-
-def second_pass(first: list[str], blocks: list[tuple]) -> list[bool]:
-    """Whether each block is text of the article: undecided blocks follow their nearest decided neighbours."""
+    return sum(w.lower().strip(_ODD) in STOP for w in words) / len(words)
+
+
+def first_pass(blocks: list[tuple[str, float, bool, bool, bool]]) -> list[str]:
+    """The label of each block: good, bad, near (near-good), poor or short; the last three are undecided."""
+    shares = [stop_share(b[0]) if len(b[0]) >= SHORT else 0.0 for b in blocks]
+    known = any(share >= SOME_STOP for share, b in zip(shares, blocks) if b[1] <= LINKS)
+    out = []
+    for (text, links, _, _, _), share in zip(blocks, shares):
+        if links > LINKED:
+            out.append("bad")
+        elif len(text) < SHORT:
+            out.append("short")
+        elif links > LINKS or known and share < SOME_STOP:
+            out.append("poor")
+        else:
+            out.append("good" if len(text) >= LONG and (share >= MANY_STOP or not known) else "near")
+    return out
+
+
+def second_pass(first: list[str], blocks: list[tuple[str, float, bool, bool, bool]]) -> list[bool]:
+    """Whether each block is text of the article."""
     n = len(first)
 
-    def nearest(order: range, skip: tuple[str, ...]) -> list[str]:
-        found, last = ["bad"] * n, "bad"
+    def nearest(order: range) -> tuple[list[str | None], list[bool]]:
+        """The nearest decided label before each block on its side, and whether a near-good block stands in between."""
+        label: list[str | None] = [None] * n
+        between = [False] * n
+        last: dict[bool, str] = {}
+        near = {False: False, True: False}
         for k in order:
-            found[k], last = last, last if first[k] in skip else first[k]
-        return found
-
-    undecided = ("short", "near")
-    before, after = nearest(range(n), undecided), nearest(range(n - 1, -1, -1), undecided)
-    close_before, close_after = nearest(range(n), ("short",)), nearest(range(n - 1, -1, -1), ("short",))
-    some_article = any(b[3] for b in blocks)
+            side = blocks[k][3]
+            label[k], between[k] = last.get(side), near[side]
+            if first[k] in ("good", "bad"):
+                last[side], near[side] = first[k], False
+            elif first[k] == "near":
+                near[side] = True
+        return label, between
+
+    (before, near_before), (after, near_after) = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    # Where nothing is good, what an article element holds goes before what stands around it.
+    nothing_good, within = "good" not in first, any(b[3] for b in blocks)
     out = []
     for k, label in enumerate(first):
-        inside, heading = blocks[k][3], blocks[k][4]
-        if label not in undecided:
-            good = label == "good"
-        elif inside:
-            good = True
-        elif before[k] == after[k]:
-            good = before[k] == "good"
+        sides = {before[k], after[k]} - {None}
+        if label in ("good", "bad"):
+            out.append(label == "good")
+        elif not sides:
+            out.append(nothing_good and blocks[k][3] == within)
+        elif len(sides) == 1:
+            out.append("good" in sides or nothing_good and label == "near" and blocks[k][3] == within)
         else:  # the side that says bad may have a near-good block closer by
-            good = label == "near" or "near" in (close_before[k] if before[k] == "bad" else "", close_after[k] if after[k] == "bad" else "") or heading and after[k] == "good"
-        out.append(good and (inside or not some_article))
+            out.append(label == "near" or (near_before[k] if before[k] == "bad" else near_after[k]) or blocks[k][4] and after[k] == "good")
     return out
 
 
 def main_text(html: str | None) -> str:
-    blocks = blocks_of(html or "")
-    kept = second_pass([first_pass(*b) for b in blocks], blocks)
-    if any(b[3] for b in blocks):
-        alike = [(text, links, outside, False, heading) for text, links, outside, _, heading in blocks]
-        of_all = second_pass([first_pass(*b) for b in alike], alike)
-        within = sum(len(b[0]) for b, good in zip(blocks, kept) if good)
-        if sum(len(b[0]) for b, good in zip(blocks, of_all) if good and not b[3]) > within:
-            kept = of_all
-    return " ".join(b[0] for b, good in zip(blocks, kept) if good)
+    blocks = [b for b in blocks_of(html or "") if not b[2]]
+    return " ".join(b[0] for b, good in zip(blocks, second_pass(first_pass(blocks), blocks)) if good)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
