@@ -360,6 +360,20 @@ def test_large_blocks_pass_through(docs, monkeypatch):
     assert {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(docs(*rows).repartition(6)).collect()} == brute_lines(rows)
 
 
+def test_distances_of_many_pairs():
+    rng = random.Random(21)
+    for size in (1, 5, 63, 64, 65, 128, 129, 200):
+        a = ["".join(rng.choice("abcdé漢") for _ in range(size)) for _ in range(40)]
+        b = ["".join(c for c in x for c in ([c] if rng.random() > 0.2 else rng.choice(["", c + "q", "z"]))) or "z" for x in a]
+        assert line_dedup.distances(a, b).tolist() == [edit_distance(x, y) for x, y in zip(a, b)]
+        assert line_dedup.distances(a, b, True).tolist() == [min(edit_distance(x, y[:k]) for k in range(len(y) + 1)) for x, y in zip(a, b)]
+    pairs = [(b"%d" % k, b"x%d" % k, x, y, int(0.2 * max(len(x), len(y)))) for k, (x, y) in enumerate(zip(a * 3, b * 3))] + [(b"s", b"t", "abc", "abcdefgh", 1)]
+    long = "".join(rng.choice("abcd ") for _ in range(900))
+    pairs += [(b"l", b"m", long, long[:300] + "Q" + long[310:], 180), (b"n", b"o", long, "".join(rng.choice("abcd ") for _ in range(900)), 180)]
+    found = {frozenset(p) for p in line_dedup.measured(pairs)}
+    assert found == {frozenset(p[:2]) for p in pairs if edit_distance(p[2], p[3]) <= p[4]}
+
+
 def test_script_cost_is_no_less_than_the_distance():
     rng, close = random.Random(6), 0
     for _ in range(300):
