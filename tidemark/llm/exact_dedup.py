@@ -47,7 +47,7 @@ def _better(a: int | None, b: int | None, largest: bool) -> bool:
 
 
 def splitters(docs: DataFrame, partitions: int) -> list[tuple[bytes, int]]:
-    """Keys that cut the texts into about equal ranges, from a sample of bounded size: heads and hashes, no texts."""
+    """Keys that cut the texts into about equal ranges, from a sample of about ``SAMPLED`` to a range: heads and hashes, no texts."""
     wanted = partitions * RANGES * SAMPLED
     rows = docs.count()
 
@@ -56,7 +56,7 @@ def splitters(docs: DataFrame, partitions: int) -> list[tuple[bytes, int]]:
             found = [_split_key(normal(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.binary()), pa.array([k for _, k in found], pa.int64())], ["head", "hash"])
 
-    sample = docs.select("text").sample(min(1.0, wanted / max(1, rows)), 17).limit(4 * wanted)
+    sample = docs.select("text").sample(min(1.0, wanted / max(1, rows)), 17)
     found = sorted((bytes(r["head"]), r["hash"]) for r in sample.mapInArrow(keys, "head binary, hash long").collect())
     return sorted({found[k * len(found) // (partitions * RANGES)] for k in range(1, partitions * RANGES)}) if found else []
 
