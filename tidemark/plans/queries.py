@@ -609,8 +609,10 @@ def skip_loaded(spark: SparkSession, d: str) -> DataFrame:
 def fan_out_union(spark: SparkSession, d: str) -> DataFrame:
     """Targets by event type, put together again."""
     e = table(spark, d, "events")
-    parts = [e.where(F.col("event_type") == k) for k in ("click", "view", "purchase", "signup", "error")]
-    whole = parts[0]
+    kinds = ("click", "view", "purchase", "signup", "error")
+    parts = [e.where(F.col("event_type") == k) for k in kinds]
+    whole = e.where(~F.coalesce(F.col("event_type").isin(*kinds), F.lit(False)))  # what has no target of its own
+    parts.insert(0, whole)
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return whole.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))

@@ -24,8 +24,9 @@ def append_new(events: DataFrame, target: str, columns: list[str], checkpoint: s
         try:
             held = batch.sparkSession.read.parquet(target).where(F.col("_epoch") != epoch).select("_row_hash")
             rows = rows.join(held, "_row_hash", "left_anti")
-        except AnalysisException:
-            pass  # the first micro-batch: there is no target yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # the first micro-batch: there is no target yet
+                raise
         rows.write.mode("overwrite").parquet(f"{target.rstrip('/')}/_epoch={epoch}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
