@@ -1,14 +1,16 @@
 """Surrogate generation for personal data.
 
-Entities (mail addresses, phone numbers, IPv4 addresses, card numbers, social security numbers, secret tokens,
-names of persons) are replaced by surrogates of the same kind, drawn by a keyed hash of the entity's canonical
+Entities (mail addresses, phone numbers, IPv4 and IPv6 addresses, card numbers, bank accounts, social security
+numbers, secret tokens and keys, names of persons) are replaced by surrogates of the same kind, drawn by a keyed hash of the entity's canonical
 form: one person's number has one surrogate wherever and however it is written. A surrogate keeps the format it
-stands in (punctuation, digits, case, hexadecimal, Luhn checksum); names keep gender and script, and first and
-last names are drawn one by one, so that a full name and a later surname agree.
+stands in (punctuation, digits, case, hexadecimal, checksums of cards and bank accounts, prefixes of keys); names
+keep gender and script, and first and last names are drawn one by one. A part of a name found once in a text is that
+name wherever else it stands there as a capitalised word, so that a full name and a surname or given name alone agree.
+A phone number's country code is part of it, and stays; without one it is a number of ``HOME_CODE``.
 
 Distinct entities get distinct surrogates, and no surrogate is an entity of the corpus: all distinct entities
 are drawn, draws that meet another or a real entity are drawn again (the smallest canonical form keeps its
-draw), until none is left. Few draws meet, so few are drawn again; those are sent along with the function while
+draw), until none is left. Names are one kind in this, whatever their gender or script. Few draws meet, so few are drawn again; those are sent along with the function while
 there are at most ``MAX_OVERRIDES``, and joined by document beyond.
 
 A null text stays null and has no entities. A null doc_id is carried. Repeated rows get equal results. Empty
@@ -18,6 +20,7 @@ table: empty result. Extra columns are unread. Texts are whole.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import durable
 
 MAX_OVERRIDES = 200_000
+HOME_CODE = "1"  # country code of phone numbers that are written without one
 DEMO_KEY = b"tidemark demonstration key"  # callers pass a secret of their own
 
 # Given names by gender and script, and titles with the gender they tell.
@@ -52,6 +56,10 @@ _NUMBER = re.compile(
     r"|(?P<phone>(?<![\w(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w))"
     r"|(?P<token>(?<![0-9A-Za-z])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
 )
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
+_KEY = re.compile(r"(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z_])")
+_KEY_PREFIX = re.compile(r"AKIA|gh[pousr]_|sk-")
 _DIGITS = re.compile(r"\d\d")
 _NAMES = re.compile(rf"{_NAME}(?:\.? {_NAME})+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -79,6 +87,53 @@ def _persons(text: str) -> Iterator[tuple[int, int, str, str]]:
             k = first + len(names)
 
 
+def _mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """All places of the names that a text tells: where they are told, and wherever else they stand capitalised."""
+    told = list(_persons(text))
+    kinds: dict[str, str] = {}
+    for _, _, kind, name in told:
+        kinds.setdefault(name, kind)
+    yield from told
+    if kinds:
+        known = {start for start, *_ in told}
+        for m in _LETTERS.finditer(text):
+            if m[0][0].isupper() and m.start() not in known and m[0].lower() in kinds:
+                yield m.start(), m.end(), kinds[m[0].lower()], m[0].lower()
+
+
+def _phone(raw: str) -> str:
+    """National digits, after the country code and a hyphen if that is not ``HOME_CODE``."""
+    code = re.match(r"\+(\d{1,3})(?!\d)", raw)
+    digits = re.sub(r"\D", "", raw)
+    if code is None:
+        return digits
+    national = digits[len(code[1]) :]
+    return national if code[1] == HOME_CODE else f"{code[1]}-{national}"
+
+
+def iban_check(country: str, account: str) -> str:
+    """The two check digits of a bank account."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
+
+
+def _checked(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """IPv6 addresses, bank accounts and keys."""
+    if text.count(":") > 1:
+        for m in _IPV6.finditer(text):
+            if sum(map(bool, m[0].split(":"))) > 2 and any(map(str.isdigit, m[0])):
+                try:
+                    yield m.start(), m.end(), "ipv6", ipaddress.IPv6Address(m[0]).exploded
+                except ValueError:
+                    continue  # a time or a row of numbers
+    for m in _IBAN.finditer(text):
+        plain = m[0].replace(" ", "")
+        if iban_check(plain[:2], plain[4:]) == plain[2:4]:
+            yield m.start(), m.end(), "iban", plain
+    if _KEY_PREFIX.search(text):
+        for m in _KEY.finditer(text):
+            yield m.start(), m.end(), "key", m[0]
+
+
 def entities_of(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of each entity; a person is one entity for each part of the name.
 
@@ -90,8 +145,9 @@ def entities_of(text: str | None) -> list[tuple[int, int, str, str]]:
         for m in _NUMBER.finditer(text):
             raw, digits = m[0], re.sub(r"\D", "", m[0])
             if m.lastgroup != "ip" or all(int(x) <= 255 for x in raw.split(".")):
-                found.append((m.start(), m.end(), m.lastgroup, {"ip": raw, "token": raw.lower(), "phone": digits[-10:]}.get(m.lastgroup, digits)))
-    found += _persons(text)
+                found.append((m.start(), m.end(), m.lastgroup, {"ip": raw, "token": raw.lower(), "phone": _phone(raw)}.get(m.lastgroup, digits)))
+    found += _checked(text)
+    found += _mentions(text)
     out, end = [], 0
     for e in sorted(found, key=lambda e: (e[0], e[2] != "email")):
         if e[0] >= end:
@@ -124,6 +180,18 @@ def draw(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         _, gender, script = kind.split("-")
         parts, ends = PARTS[script], ENDINGS[gender, script]
         return "".join(parts[(next(s) << 8 | next(s)) % len(parts)] for _ in range(2 + next(s) % 2 + attempt // 8)) + ends[next(s) % len(ends)]
+    alike = lambda c: digit() if c.isdigit() else chr((65 if c.isupper() else 97) + next(s) % 26) if c.isalpha() else c
+    if kind == "phone":
+        code, hyphen, national = value.rpartition("-")
+        return code + hyphen + "".join(map(alike, national))
+    if kind == "ipv6":  # groups of zeros stay, so that what is shortened stays short
+        return ":".join("0000" if int(g, 16) == 0 else f"{1 + (next(s) << 8 | next(s)) % 65535:04x}" for g in value.split(":"))
+    if kind == "iban":
+        account = "".join(map(alike, value[4:]))
+        return value[:2] + iban_check(value[:2], account) + account
+    if kind == "key":
+        prefix = _KEY_PREFIX.match(value)[0]
+        return prefix + "".join(map(alike, value[len(prefix) :]))
     if kind == "ip":
         return ".".join(str(next(s) if k else 1 + next(s) % 223) for k in range(4))
     if kind == "email":
@@ -139,7 +207,16 @@ def draw(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
 
 def render(raw: str, kind: str, surrogate: str) -> str:
     """The surrogate in the format that the entity stands in."""
+    if kind == "key":
+        return surrogate
+    if kind == "ipv6":
+        short = ipaddress.IPv6Address(surrogate).compressed if "::" in raw else surrogate
+        return short.upper() if any(c in "ABCDEF" for c in raw) else short
+    if kind == "iban":
+        left = iter(surrogate)
+        return "".join(c if c == " " else next(left) for c in raw)
     if kind in ("ssn", "card", "phone"):
+        surrogate = surrogate.rpartition("-")[2]
         n = sum(c.isdigit() for c in raw)
         digits, lead = iter(surrogate), n - len(surrogate)  # leading country digits stay
         out = []
@@ -177,13 +254,15 @@ def assign(docs: DataFrame, key: bytes, most_rounds: int = 60) -> DataFrame:
     """(kind, value, surrogate, attempt) for all distinct entities: surrogates are distinct and no real entity."""
     real = durable(docs.select("text").mapInArrow(_found, "kind string, value string").distinct(), "entities")
     taken, left = None, real
+    family = F.substring_index("kind", "-", 1).alias("family")  # names of all genders and scripts are one
+    entities = real.select(family, F.col("value").alias("surrogate"))
     for attempt in range(most_rounds):
         drawn = durable(left.mapInArrow(_drawn(key, attempt), "kind string, value string, surrogate string"), "drawn")
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        ok = first.join(real.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        first = drawn.groupBy(family, "surrogate").agg(F.min(F.struct("value", "kind")).alias("of"))
+        ok = first.join(entities, ["family", "surrogate"], "left_anti")
         if taken is not None:
-            ok = ok.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        ok = durable(ok.select("kind", "value", "surrogate", F.lit(attempt).alias("attempt")), "assigned")
+            ok = ok.join(taken.select(family, "surrogate"), ["family", "surrogate"], "left_anti")
+        ok = durable(ok.select("of.kind", "of.value", "surrogate", F.lit(attempt).alias("attempt")), "assigned")
         taken = ok if taken is None else taken.unionByName(ok)
         left = durable(drawn.select("kind", "value").join(ok.select("kind", "value"), ["kind", "value"], "left_anti"), "left")
         if left.isEmpty():
