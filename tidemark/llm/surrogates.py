@@ -57,9 +57,10 @@ _NUMBER = re.compile(
     r"|(?P<token>(?<![0-9A-Za-z])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
 )
 _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
-_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
+_COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
+_IBAN = re.compile(r"[A-Z](?<![0-9A-Za-z].)[A-Z]\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 _KEY = re.compile(r"(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z_])")
-_KEY_PREFIX = re.compile(r"AKIA|gh[pousr]_|sk-")
+KEY_PREFIXES = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 _DIGITS = re.compile(r"\d\d")
 _NAMES = re.compile(rf"{_NAME}(?:\.? {_NAME})+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -118,7 +119,7 @@ def iban_check(country: str, account: str) -> str:
 
 def _checked(text: str) -> Iterator[tuple[int, int, str, str]]:
     """IPv6 addresses, bank accounts and keys."""
-    if text.count(":") > 1:
+    if _COLONS.search(text):
         for m in _IPV6.finditer(text):
             if sum(map(bool, m[0].split(":"))) > 2 and any(map(str.isdigit, m[0])):
                 try:
@@ -129,7 +130,7 @@ def _checked(text: str) -> Iterator[tuple[int, int, str, str]]:
         plain = m[0].replace(" ", "")
         if iban_check(plain[:2], plain[4:]) == plain[2:4]:
             yield m.start(), m.end(), "iban", plain
-    if _KEY_PREFIX.search(text):
+    if any(prefix in text for prefix in KEY_PREFIXES):
         for m in _KEY.finditer(text):
             yield m.start(), m.end(), "key", m[0]
 
@@ -190,7 +191,7 @@ def draw(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         account = "".join(map(alike, value[4:]))
         return value[:2] + iban_check(value[:2], account) + account
     if kind == "key":
-        prefix = _KEY_PREFIX.match(value)[0]
+        prefix = next(p for p in KEY_PREFIXES if value.startswith(p))
         return prefix + "".join(map(alike, value[len(prefix) :]))
     if kind == "ip":
         return ".".join(str(next(s) if k else 1 + next(s) % 223) for k in range(4))
