@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder in the shared folder that nothing uses yet; ``clear`` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -40,9 +47,8 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     ``discard`` or, at the end of a job, ``clear`` removes it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path
     return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing, near_join, quality, surrogates, toxicity
+from tidemark.llm import alignment, decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing, near_join, quality, runs, surrogates, token_files, toxicity
 from tidemark.llm.common import table
 
 
@@ -58,7 +60,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_join, op3_decontaminate, op4_license, op5_surrogates, op6_quality, op7_line_dedup, op8_html_text, op9_exact_dedup, op10_mixing)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_index(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))[0]
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """In a tenth of the documents the words from one place on repeat (rows without id are left as they are)."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.find_runs(table(spark, sf_dir, "documents"), prepare=planted, full=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_join, op3_decontaminate, op4_license, op5_surrogates, op6_quality, op7_line_dedup, op8_html_text, op9_exact_dedup, op10_mixing, op11_token_files, op12_token_alignment, op13_periodic_runs)}
 
 ORACLE = {
     "op9_exact_dedup": """
