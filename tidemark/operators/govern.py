@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemark.sources.store import Store
+
 # Levels from open to closed, roles that see raw values, and the text that stands for a masked one.
 LEVELS = ("public", "internal", "confidential", "restricted")
 PRIVILEGED = ("custodian", "engineer", "admin")
@@ -63,6 +69,54 @@ def erasure_log(df: DataFrame, subjects: DataFrame, key: str, layer: str) -> Dat
     return counted.select(F.col("_subject").alias("subject"), F.lit(layer).alias("layer"), "rows_erased")
 
 
+@dataclass(frozen=True)
+class Personal:
+    """Where a layer's table names a subject, and what is personal in it."""
+
+    table: str
+    key: str
+    columns: tuple[str, ...]
+
+
+def erase_in_place(store: Store, subjects: DataFrame, subject: str, layers: list[Personal], request: str, log: str = "erasure_log") -> dict[str, int]:
+    """Erase subjects from stored tables of every layer; returns how many files of each table were written again.
+
+    The files that hold rows of a subject are found by one scan of the key column. Those alone are written again, with
+    the subjects' personal columns NULL; all other files stay as they are, byte for byte. The log gets a row for each
+    table and subject. One commit puts all of it in force, so no reader sees a subject erased in one layer only. Older
+    versions' files stay until they are removed (``forget``).
+    """
+    base, staged, drop, written = store.manifest(), [], {}, {}
+    marks = subjects.select(F.col(subject).alias("_subject")).where(F.col("_subject").isNotNull()).distinct()
+    logs = None
+    for p in layers:
+        every = {f["path"]: f for f in store.files(p.table)}
+        rows = store.read(p.table)
+        held = rows.select(F.col(p.key).alias("_subject"), F.col("_metadata.file_path").alias("_file")).join(marks, "_subject").select("_file").distinct()
+        # Names of files, not rows, reach the driver.
+        met = [r["_file"][r["_file"].rindex(f"/{p.table}/") + 1 :] for r in held.collect()]
+        hit = sorted(k if k in every else unquote(k) for k in met)
+        written[p.table] = len(hit)
+        by_tags: dict[str, list[dict]] = {}
+        for k in hit:
+            by_tags.setdefault(json.dumps(every[k]["tags"], sort_keys=True), []).append(every[k])
+        for tags, files in by_tags.items():
+            staged.append(store.stage(p.table, erase(store.read_files(p.table, files), subjects.withColumnRenamed(subject, p.key), p.key, list(p.columns)), **json.loads(tags)))
+        drop[p.table] = hit
+        entry = erasure_log(store.read_files(p.table, [every[k] for k in hit]), subjects.select(F.col(subject).alias(p.key)), p.key, p.table)
+        logs = entry if logs is None else logs.unionByName(entry)
+    staged.append(store.stage(log, logs.withColumn("request", F.lit(request))))
+    store.commit(*staged, drop=drop, base=base)
+    return written
+
+
+def forget(store: Store) -> list[str]:
+    """Delete the files that the newest version no longer names; returns their paths. Older versions can't be read after."""
+    now = {f["path"] for t in store.manifest()["tables"].values() for f in t["files"]}
+    old = {f["path"] for v in range(1, store.version()) for t in store.manifest(v)["tables"].values() for f in t["files"]} - now
+    return store.remove(sorted(old))
+
+
 def access_audit(log: DataFrame, restricted: list[str], since: Column) -> DataFrame:
     """Log rows since a time whose objects (array of struct with columns) name a restricted column."""
     touched = F.exists("objects", lambda o: F.exists(o["columns"], lambda c: c.isin(*restricted)))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators.star import orphans
 
@@ -89,6 +92,66 @@ def test_results(run_id: str, model: str, tests: dict[str, tuple[DataFrame, str]
     return rows
 
 
+@dataclass(frozen=True)
+class RowTest:
+    """A test of single rows: what violates it, and how bad that is."""
+
+    name: str
+    violated: Column
+    severity: str = "error"
+
+
+def null_test(column: str, severity: str = "error") -> RowTest:
+    return RowTest(f"not_null_{column}", F.col(column).isNull(), severity)
+
+
+def values_test(column: str, values: list, severity: str = "warn") -> RowTest:
+    return RowTest(f"accepted_values_{column}", F.col(column).isNotNull() & ~F.col(column).isin(*values), severity)
+
+
+def range_test(column: str, least=None, most=None, severity: str = "warn") -> RowTest:
+    low = F.col(column) < F.lit(least) if least is not None else F.lit(False)
+    high = F.col(column) > F.lit(most) if most is not None else F.lit(False)
+    return RowTest(f"range_{column}", F.coalesce(low | high, F.lit(False)), severity)
+
+
+def true_test(name: str, condition: Column, severity: str = "error") -> RowTest:
+    return RowTest(name, ~F.coalesce(condition, F.lit(False)), severity)
+
+
+def _judged(rows: DataFrame, run_id: str, model: str) -> DataFrame:
+    """(test, severity, failures) rows to rows of the log."""
+    status = F.when(F.col("failures") == 0, "pass").otherwise(F.when(F.col("severity") == "error", "fail").otherwise("warn"))
+    return rows.select(F.lit(run_id).alias("run_id"), F.lit(model).alias("model"), "test", "severity", "failures", status.alias("status"), F.concat(F.col("failures").cast("string"), F.lit(" violating rows")).alias("message"))
+
+
+def row_test_results(df: DataFrame, run_id: str, model: str, tests: list[RowTest]) -> DataFrame:
+    """The log rows of any number of row tests from one scan: all are counted by one aggregate."""
+    counts = df.agg(*[F.count_if(t.violated).alias(f"t{k}") for k, t in enumerate(tests)])
+    each = [F.struct(F.lit(t.name).alias("test"), F.lit(t.severity).alias("severity"), F.col(f"t{k}").alias("failures")) for k, t in enumerate(tests)]
+    return _judged(counts.select(F.inline(F.array(*each))), run_id, model)
+
+
+def run_row_tests(df: DataFrame, run_id: str, model: str, tests: list[RowTest], folder: str) -> DataFrame:
+    """Row tests of a table in one scan, with the violating rows kept: returns the log rows.
+
+    Each violating row is written once for each test that it fails, below ``folder`` by test; the counts are taken
+    while it is written. ``read_failures`` gives a test's rows back.
+    """
+    seen = Observation()
+    names = F.array_compact(F.array(*[F.when(t.violated, F.lit(t.name)) for t in tests]))
+    watched = df.observe(seen, *[F.count_if(t.violated).alias(f"t{k}") for k, t in enumerate(tests)])
+    failed = watched.withColumn("_tests", names).where(F.size("_tests") > 0)
+    failed.withColumn("_test", F.explode("_tests")).drop("_tests").write.mode("overwrite").partitionBy("_test").parquet(folder)
+    rows = [(t.name, t.severity, int(seen.get[f"t{k}"])) for k, t in enumerate(tests)]
+    return _judged(df.sparkSession.createDataFrame(rows, "test string, severity string, failures long"), run_id, model)
+
+
+def read_failures(spark: SparkSession, folder: str, test: str, schema: StructType) -> DataFrame:
+    """The rows that ``run_row_tests`` kept for a test; no file of another test is read."""
+    return spark.read.schema(StructType(schema.fields).add("_test", "string")).parquet(folder).where(F.col("_test") == test).drop("_test")
+
+
 def store_failures(bad: DataFrame, folder: str, test: str) -> None:
     """Keep a test's violating rows as a table of their own."""
     bad.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{test}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import casting, keys
 from tidemark.functions.casting import Cast
-from tidemark.operators import govern, incremental, quality, reconcile, scd, star, windows
+from tidemark.operators import govern, quality, reconcile, scd, star, windows
 from tidemark.operators.windows import down, up
 from tidemark.session import table
 from tidemark.sources import control, delimited, fixed_width, sinks, xml
@@ -545,15 +545,6 @@ def dq_freshness(spark: SparkSession, d: str) -> DataFrame:
     return quality.freshness(table(spark, d, "events"), "ts", F.lit("2024-02-02").cast("timestamp_ntz"), 24, "events").withColumn("age_hours", F.round("age_hours", 6))
 
 
-@query("""SELECT 'run1' AS run_id, 'lineitem' AS model, test, severity, failures, CASE WHEN failures = 0 THEN 'pass' WHEN severity = 'error' THEN 'fail' ELSE 'warn' END AS status, failures || ' violating rows' AS message FROM (
-  SELECT 'unique_key' AS test, 'error' AS severity, count(*) AS failures FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
-  UNION ALL SELECT 'flag_values', 'warn', count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') UNION ALL SELECT 'quantity_range', 'warn', count(*) FROM lineitem WHERE l_quantity < 0)""")
-def dq_test_log(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    tests = {"unique_key": (quality.duplicated(li, "l_orderkey", "l_linenumber"), "error"), "flag_values": (quality.outside_values(li, "l_returnflag", ["A", "N"]), "warn"), "quantity_range": (quality.outside_range(li, "l_quantity", least=0.0), "warn")}
-    return quality.test_results("run1", "lineitem", tests)
-
-
 # ---------------------------------------------------------------- reconciliation
 
 
@@ -584,16 +575,6 @@ def reconcile_total(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- incremental loads
 
 
-@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
-def incremental_append(spark: SparkSession, d: str) -> DataFrame:
-    """Three loads, the later ones with re-sent rows, hold what a full refresh holds."""
-    e = table(spark, d, "events").withColumn("_loaded_at", batch_of())
-    columns = [c for c in e.columns if c != "_loaded_at"]
-    again = e.where("_loaded_at = 1 and event_id % 7 = 0").withColumn("_loaded_at", F.lit(3))
-    steps = [e.where("_loaded_at = 1"), e.where("_loaded_at = 2"), e.where("_loaded_at = 3").unionByName(again)]
-    return incremental.incremental(steps, columns).select(*columns)
-
-
 @query("WITH " + EV + " SELECT _batch_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks FROM ev GROUP BY 1")
 def batch_overwrite(spark: SparkSession, d: str) -> DataFrame:
     """Batch 2 is loaded again in place of its first load; totals stay."""
@@ -609,19 +590,6 @@ def skip_loaded(spark: SparkSession, d: str) -> DataFrame:
     return sinks.unloaded_batches(e, loaded).groupBy("_batch_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2")
-def fan_out_union(spark: SparkSession, d: str) -> DataFrame:
-    """Targets by event type, put together again."""
-    e = table(spark, d, "events")
-    kinds = ("click", "view", "purchase", "signup", "error")
-    parts = [e.where(F.col("event_type") == k) for k in kinds]
-    whole = e.where(~F.coalesce(F.col("event_type").isin(*kinds), F.lit(False)))  # what has no target of its own
-    parts.insert(0, whole)
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- governance
 
 CUSTOMER_LEVELS = {"c_custkey": "internal", "c_name": "restricted", "c_nationkey": "internal", "c_acctbal": "restricted", "c_mktsegment": "confidential"}

@@ -16,27 +16,219 @@ from tidemark.operators.windows import changed_only, close_intervals, dedup_late
 
 Bronze = dict[str, DataFrame]
 
-# Silver column = bronze column; ":t" trims to NULL, ":u" also upper-cases.
+# Parts of a phone number, and their names in the source.
+PHONE = (("country_code", "ctry"), ("area_code", "area"), ("number", "local"), ("extension", "ext"))
+# Silver column, bronze column, how its text is cleaned.
+KEEP, TRIM, UPPER = "keep", "trim", "upper"
 COLUMNS = {
-    "date": "date_sk=sk_dateid date_value=datevalue date_desc=datedesc:t calendar_year_id=calendaryearid calendar_year_desc=calendaryeardesc:t calendar_qtr_id=calendarqtrid calendar_qtr_desc=calendarqtrdesc:t calendar_month_id=calendarmonthid calendar_month_desc=calendarmonthdesc:t calendar_week_id=calendarweekid calendar_week_desc=calendarweekdesc:t day_of_week_num=dayofweeknum day_of_week_desc=dayofweekdesc:t fiscal_year_id=fiscalyearid fiscal_year_desc=fiscalyeardesc:t fiscal_qtr_id=fiscalqtrid fiscal_qtr_desc=fiscalqtrdesc:t holiday_flag=holidayflag",
-    "time": "time_sk=sk_timeid time_value=timevalue:t hour_id=hourid hour_desc=hourdesc:t minute_id=minuteid minute_desc=minutedesc:t second_id=secondid second_desc=seconddesc:t market_hours_flag=markethoursflag office_hours_flag=officehoursflag",
-    "status_type": "status_id=st_id:u status_name=st_name:t",
-    "tax_rate": "tax_rate_id=tx_id:u tax_rate_name=tx_name:t tax_rate=tx_rate",
-    "industry": "industry_id=in_id:u industry_name=in_name:t sector_id=in_sc_id:u",
-    "trade_type": "trade_type_id=tt_id:u trade_type_name=tt_name:t is_sell_flag=tt_is_sell is_market_flag=tt_is_mrkt",
-    "hr": "employee_id=employeeid manager_id=managerid first_name=employeefirstname:t last_name=employeelastname:t middle_initial=employeemi:u job_code=employeejobcode branch=employeebranch:t office=employeeoffice:t phone=employeephone:t",
-    "prospect": "agency_id=agencyid:t last_name=lastname:t first_name=firstname:t middle_initial=middleinitial:u gender=gender:u address_line1=addressline1:t address_line2=addressline2:t postal_code=postalcode:t city=city:t state=state:u country=country:t phone=phone:t income=income number_cars=numbercars number_children=numberchildren marital_status=maritalstatus:u age=age credit_rating=creditrating own_or_rent_flag=ownorrentflag:u employer=employer:t number_credit_cards=numbercreditcards net_worth=networth",
-    "cash_transaction": "account_id=ct_ca_id transaction_ts=ct_dts amount=ct_amt description=ct_name:t",
-    "daily_market": "market_date=dm_date security_symbol=dm_s_symb:u close_price=dm_close high_price=dm_high low_price=dm_low volume=dm_vol",
-    "holding_history": "originating_trade_id=hh_h_t_id trade_id=hh_t_id qty_before=hh_before_qty qty_after=hh_after_qty",
-    "watch_history": "customer_id=w_c_id security_symbol=w_s_symb:u event_ts=w_dts watch_action=w_action:u",
-    "trade": "trade_id=t_id trade_timestamp=t_dts status_id=t_st_id:u trade_type_id=t_tt_id:u is_cash=t_is_cash symbol=t_s_symb:u quantity=t_qty bid_price=t_bid_price customer_account_id=t_ca_id execution_name=t_exec_name:t trade_price=t_trade_price charge=t_chrg commission=t_comm tax=t_tax cdc_flag=_cdc_flag:u",
-    "finwire_cmp": "posting_ts=pts company_name=companyname:t cik=cik:t status=status:u industry_id=industryid:u sp_rating=sprating:u founding_date=foundingdate address_line1=addrline1:t address_line2=addrline2:t postal_code=postalcode:t city=city:t state_province=stateprovince:t country=country:t ceo_name=ceoname:t description=description:t",
-    "finwire_sec": "posting_ts=pts security_symbol=symbol:u issue_type=issuetype:u status=status:u security_name=name:t exchange_id=exid:u shares_outstanding=shout first_trade_date=firsttradedate first_trade_exchange_date=firsttradeexchg dividend=dividend company_name=coname:t company_cik=cocik:t",
-    "finwire_fin": "posting_ts=pts year=year quarter=quarter qtr_start_date=qtrstartdate posting_date=postingdate revenue=revenue earnings=earnings eps=eps diluted_eps=dilutedeps margin=margin inventory=inventory assets=assets liabilities=liabilities shares_outstanding=shout diluted_shares_outstanding=dilutedshout company_name=coname:t company_cik=cocik:t",
-    "account": "account_id=ca_id broker_id=ca_b_id customer_id=ca_c_id account_name=ca_name:t tax_status=ca_tax_st",
-    "customer": "customer_id=c_id tax_id=c_tax_id:t last_name=c_l_name:t first_name=c_f_name:t middle_name=c_m_name:u gender=c_gndr:u tier=c_tier date_of_birth=c_dob address_line1=c_adline1:t address_line2=c_adline2:t postal_code=c_zipcode:t city=c_city:t state_province=c_state_prov:t country=c_ctry:t primary_email=c_prim_email:t alternate_email=c_alt_email:t local_tax_rate_id=c_lcl_tx_id:u national_tax_rate_id=c_nat_tx_id:u "
-    + " ".join(f"phone{n}_country_code=c_ctry_{n}:t phone{n}_area_code=c_area_{n}:t phone{n}_number=c_local_{n}:t phone{n}_extension=c_ext_{n}:t" for n in (1, 2, 3)),
+    "date": [
+        ("date_sk", "sk_dateid", KEEP),
+        ("date_value", "datevalue", KEEP),
+        ("date_desc", "datedesc", TRIM),
+        ("calendar_year_id", "calendaryearid", KEEP),
+        ("calendar_year_desc", "calendaryeardesc", TRIM),
+        ("calendar_qtr_id", "calendarqtrid", KEEP),
+        ("calendar_qtr_desc", "calendarqtrdesc", TRIM),
+        ("calendar_month_id", "calendarmonthid", KEEP),
+        ("calendar_month_desc", "calendarmonthdesc", TRIM),
+        ("calendar_week_id", "calendarweekid", KEEP),
+        ("calendar_week_desc", "calendarweekdesc", TRIM),
+        ("day_of_week_num", "dayofweeknum", KEEP),
+        ("day_of_week_desc", "dayofweekdesc", TRIM),
+        ("fiscal_year_id", "fiscalyearid", KEEP),
+        ("fiscal_year_desc", "fiscalyeardesc", TRIM),
+        ("fiscal_qtr_id", "fiscalqtrid", KEEP),
+        ("fiscal_qtr_desc", "fiscalqtrdesc", TRIM),
+        ("holiday_flag", "holidayflag", KEEP),
+    ],
+    "time": [
+        ("time_sk", "sk_timeid", KEEP),
+        ("time_value", "timevalue", TRIM),
+        ("hour_id", "hourid", KEEP),
+        ("hour_desc", "hourdesc", TRIM),
+        ("minute_id", "minuteid", KEEP),
+        ("minute_desc", "minutedesc", TRIM),
+        ("second_id", "secondid", KEEP),
+        ("second_desc", "seconddesc", TRIM),
+        ("market_hours_flag", "markethoursflag", KEEP),
+        ("office_hours_flag", "officehoursflag", KEEP),
+    ],
+    "status_type": [
+        ("status_id", "st_id", UPPER),
+        ("status_name", "st_name", TRIM),
+    ],
+    "tax_rate": [
+        ("tax_rate_id", "tx_id", UPPER),
+        ("tax_rate_name", "tx_name", TRIM),
+        ("tax_rate", "tx_rate", KEEP),
+    ],
+    "industry": [
+        ("industry_id", "in_id", UPPER),
+        ("industry_name", "in_name", TRIM),
+        ("sector_id", "in_sc_id", UPPER),
+    ],
+    "trade_type": [
+        ("trade_type_id", "tt_id", UPPER),
+        ("trade_type_name", "tt_name", TRIM),
+        ("is_sell_flag", "tt_is_sell", KEEP),
+        ("is_market_flag", "tt_is_mrkt", KEEP),
+    ],
+    "hr": [
+        ("employee_id", "employeeid", KEEP),
+        ("manager_id", "managerid", KEEP),
+        ("first_name", "employeefirstname", TRIM),
+        ("last_name", "employeelastname", TRIM),
+        ("middle_initial", "employeemi", UPPER),
+        ("job_code", "employeejobcode", KEEP),
+        ("branch", "employeebranch", TRIM),
+        ("office", "employeeoffice", TRIM),
+        ("phone", "employeephone", TRIM),
+    ],
+    "prospect": [
+        ("agency_id", "agencyid", TRIM),
+        ("last_name", "lastname", TRIM),
+        ("first_name", "firstname", TRIM),
+        ("middle_initial", "middleinitial", UPPER),
+        ("gender", "gender", UPPER),
+        ("address_line1", "addressline1", TRIM),
+        ("address_line2", "addressline2", TRIM),
+        ("postal_code", "postalcode", TRIM),
+        ("city", "city", TRIM),
+        ("state", "state", UPPER),
+        ("country", "country", TRIM),
+        ("phone", "phone", TRIM),
+        ("income", "income", KEEP),
+        ("number_cars", "numbercars", KEEP),
+        ("number_children", "numberchildren", KEEP),
+        ("marital_status", "maritalstatus", UPPER),
+        ("age", "age", KEEP),
+        ("credit_rating", "creditrating", KEEP),
+        ("own_or_rent_flag", "ownorrentflag", UPPER),
+        ("employer", "employer", TRIM),
+        ("number_credit_cards", "numbercreditcards", KEEP),
+        ("net_worth", "networth", KEEP),
+    ],
+    "cash_transaction": [
+        ("account_id", "ct_ca_id", KEEP),
+        ("transaction_ts", "ct_dts", KEEP),
+        ("amount", "ct_amt", KEEP),
+        ("description", "ct_name", TRIM),
+    ],
+    "daily_market": [
+        ("market_date", "dm_date", KEEP),
+        ("security_symbol", "dm_s_symb", UPPER),
+        ("close_price", "dm_close", KEEP),
+        ("high_price", "dm_high", KEEP),
+        ("low_price", "dm_low", KEEP),
+        ("volume", "dm_vol", KEEP),
+    ],
+    "holding_history": [
+        ("originating_trade_id", "hh_h_t_id", KEEP),
+        ("trade_id", "hh_t_id", KEEP),
+        ("qty_before", "hh_before_qty", KEEP),
+        ("qty_after", "hh_after_qty", KEEP),
+    ],
+    "watch_history": [
+        ("customer_id", "w_c_id", KEEP),
+        ("security_symbol", "w_s_symb", UPPER),
+        ("event_ts", "w_dts", KEEP),
+        ("watch_action", "w_action", UPPER),
+    ],
+    "trade": [
+        ("trade_id", "t_id", KEEP),
+        ("trade_timestamp", "t_dts", KEEP),
+        ("status_id", "t_st_id", UPPER),
+        ("trade_type_id", "t_tt_id", UPPER),
+        ("is_cash", "t_is_cash", KEEP),
+        ("symbol", "t_s_symb", UPPER),
+        ("quantity", "t_qty", KEEP),
+        ("bid_price", "t_bid_price", KEEP),
+        ("customer_account_id", "t_ca_id", KEEP),
+        ("execution_name", "t_exec_name", TRIM),
+        ("trade_price", "t_trade_price", KEEP),
+        ("charge", "t_chrg", KEEP),
+        ("commission", "t_comm", KEEP),
+        ("tax", "t_tax", KEEP),
+        ("cdc_flag", "_cdc_flag", UPPER),
+    ],
+    "finwire_cmp": [
+        ("posting_ts", "pts", KEEP),
+        ("company_name", "companyname", TRIM),
+        ("cik", "cik", TRIM),
+        ("status", "status", UPPER),
+        ("industry_id", "industryid", UPPER),
+        ("sp_rating", "sprating", UPPER),
+        ("founding_date", "foundingdate", KEEP),
+        ("address_line1", "addrline1", TRIM),
+        ("address_line2", "addrline2", TRIM),
+        ("postal_code", "postalcode", TRIM),
+        ("city", "city", TRIM),
+        ("state_province", "stateprovince", TRIM),
+        ("country", "country", TRIM),
+        ("ceo_name", "ceoname", TRIM),
+        ("description", "description", TRIM),
+    ],
+    "finwire_sec": [
+        ("posting_ts", "pts", KEEP),
+        ("security_symbol", "symbol", UPPER),
+        ("issue_type", "issuetype", UPPER),
+        ("status", "status", UPPER),
+        ("security_name", "name", TRIM),
+        ("exchange_id", "exid", UPPER),
+        ("shares_outstanding", "shout", KEEP),
+        ("first_trade_date", "firsttradedate", KEEP),
+        ("first_trade_exchange_date", "firsttradeexchg", KEEP),
+        ("dividend", "dividend", KEEP),
+        ("company_name", "coname", TRIM),
+        ("company_cik", "cocik", TRIM),
+    ],
+    "finwire_fin": [
+        ("posting_ts", "pts", KEEP),
+        ("year", "year", KEEP),
+        ("quarter", "quarter", KEEP),
+        ("qtr_start_date", "qtrstartdate", KEEP),
+        ("posting_date", "postingdate", KEEP),
+        ("revenue", "revenue", KEEP),
+        ("earnings", "earnings", KEEP),
+        ("eps", "eps", KEEP),
+        ("diluted_eps", "dilutedeps", KEEP),
+        ("margin", "margin", KEEP),
+        ("inventory", "inventory", KEEP),
+        ("assets", "assets", KEEP),
+        ("liabilities", "liabilities", KEEP),
+        ("shares_outstanding", "shout", KEEP),
+        ("diluted_shares_outstanding", "dilutedshout", KEEP),
+        ("company_name", "coname", TRIM),
+        ("company_cik", "cocik", TRIM),
+    ],
+    "account": [
+        ("account_id", "ca_id", KEEP),
+        ("broker_id", "ca_b_id", KEEP),
+        ("customer_id", "ca_c_id", KEEP),
+        ("account_name", "ca_name", TRIM),
+        ("tax_status", "ca_tax_st", KEEP),
+    ],
+    "customer": [
+        ("customer_id", "c_id", KEEP),
+        ("tax_id", "c_tax_id", TRIM),
+        ("last_name", "c_l_name", TRIM),
+        ("first_name", "c_f_name", TRIM),
+        ("middle_name", "c_m_name", UPPER),
+        ("gender", "c_gndr", UPPER),
+        ("tier", "c_tier", KEEP),
+        ("date_of_birth", "c_dob", KEEP),
+        ("address_line1", "c_adline1", TRIM),
+        ("address_line2", "c_adline2", TRIM),
+        ("postal_code", "c_zipcode", TRIM),
+        ("city", "c_city", TRIM),
+        ("state_province", "c_state_prov", TRIM),
+        ("country", "c_ctry", TRIM),
+        ("primary_email", "c_prim_email", TRIM),
+        ("alternate_email", "c_alt_email", TRIM),
+        ("local_tax_rate_id", "c_lcl_tx_id", UPPER),
+        ("national_tax_rate_id", "c_nat_tx_id", UPPER),
+        *((f"phone{n}_{name}", f"c_{part}_{n}", TRIM) for n in (1, 2, 3) for name, part in PHONE),
+    ],
 }
 ENVELOPE = ["_batch_id", "_row_hash", "_loaded_at"]
 CHANGES = ["_cdc_flag", "_cdc_dsn"]
@@ -44,11 +236,7 @@ CHANGES = ["_cdc_flag", "_cdc_dsn"]
 
 def cleaned(df: DataFrame, source: str, *extra: str | Column, needs: list[str] = ()) -> DataFrame:
     """The model's columns and the envelope; rows without a business key go before any window sees them."""
-    cols = []
-    for word in COLUMNS[source].split():
-        name, _, rest = word.partition("=")
-        column, _, how = rest.partition(":")
-        cols.append((trim_or_null(F.col(column), upper=how == "u") if how else F.col(column)).alias(name))
+    cols = [(F.col(column) if how == KEEP else trim_or_null(F.col(column), upper=how == UPPER)).alias(name) for name, column, how in COLUMNS[source]]
     for c in needs:
         df = df.where(F.col(c).isNotNull())
     return df.select(*cols, *ENVELOPE, *extra)

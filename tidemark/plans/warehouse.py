@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import row_hash
 from tidemark.plans import gold, silver, specs
-from tidemark.session import table
-from tidemark.sources import control, delimited, fixed_width, xml
+from tidemark.session import shared_folder, table
+from tidemark.sources import control, delimited, fixed_width, sinks, xml
 
 
-def models(bronze: dict[str, DataFrame]) -> Callable[[str], DataFrame]:
-    """A function from a model's name to its DataFrame; a model is planned once and only when asked for."""
-    made: dict[str, DataFrame] = {}
+def models(bronze: dict[str, DataFrame], written: dict[str, DataFrame] | None = None) -> Callable[[str], DataFrame]:
+    """A function from a model's name to its DataFrame; a model is planned once and only when asked for.
+
+    ``written`` are models that are stored already and are read, not planned again.
+    """
+    made: dict[str, DataFrame] = dict(written or {})
 
     def get(name: str) -> DataFrame:
         if name not in made:
@@ -25,6 +30,43 @@ def models(bronze: dict[str, DataFrame]) -> Callable[[str], DataFrame]:
     return get
 
 
+def silver_parents(bronze: dict[str, DataFrame], names: list[str]) -> list[str]:
+    """The silver models that the given gold models read, however deep: their plans are made, and nothing is run."""
+    get, met = models(bronze), []
+
+    def noted(name: str) -> DataFrame:
+        if name in silver.MODELS:
+            met.append(name)
+            return get(name)
+        return gold.MODELS[name](noted)
+
+    for name in names:
+        noted(name)
+    return sorted(set(met))
+
+
+def build(bronze: dict[str, DataFrame], names: list[str], folder: str, at_once: int = 4) -> Callable[[str], DataFrame]:
+    """Build gold models as layers: every silver model that they need is written once below ``folder``, and gold reads it.
+
+    Silver models do not read each other, so some are written at a time. Each write is a full refresh under the model's
+    own schema. Returns the function from names to DataFrames over what was written.
+    """
+    get = models(bronze)
+
+    def write(name: str) -> tuple[str, DataFrame]:
+        df = get(name)
+        path = f"{folder.rstrip('/')}/{name}"
+        sinks.full_refresh(df, path, df.schema)
+        return name, df.sparkSession.read.schema(df.schema).parquet(path)
+
+    needed = silver_parents(bronze, names)
+    for name in needed:  # plans are made in one thread
+        get(name)
+    with ThreadPoolExecutor(at_once) as pool:
+        written = dict(pool.map(inheritable_thread_target(write), needed))
+    return models(bronze, written)
+
+
 def enveloped(df: DataFrame, batch: Column, loaded_at: Column, changes: bool = False) -> DataFrame:
     """The load envelope; change columns are no part of the hash."""
     business = [c for c in df.columns if c not in ("_cdc_flag", "_cdc_dsn", "_dq_errors", "_source_file", "_b", "_batch_id", "_loaded_at")]
@@ -108,7 +150,7 @@ def derived_bronze(spark: SparkSession, d: str) -> Lazy:
     out["finwire_fin"] = lambda: fin().withColumns({"pts": F.lit("2000-01-03").cast("timestamp_ntz"), "coname": F.lit(None).cast("string"), "dilutedshout": F.col("shout")} | {c: F.col("revenue") for c in ("earnings", "inventory", "assets", "liabilities")} | {c: F.lit(None).cast("decimal(10,4)") for c in ("eps", "dilutedeps", "margin")})
     out = {k: lambda v=v: enveloped(v(), one, at) for k, v in out.items()}
     # What the actions do not name stays empty, as in the source.
-    want = {w.partition("=")[2].partition(":")[0] for w in silver.COLUMNS["customer"].split()}
+    want = {column for _, column, _ in silver.COLUMNS["customer"]}
     named = out["mgmt_customer"]
     out["mgmt_customer"] = lambda: named().withColumns({c: F.lit(None).cast("date" if c == "c_dob" else "string") for c in sorted(want - set(named().columns))})
     trade = lambda df, key, ts, status, qty, price, account: df.select("_b", F.col(key).alias("t_id"), F.col(ts).alias("t_dts"), F.lower(status).alias("t_st_id"), F.substring("o_orderpriority", 1, 1).alias("t_tt_id"), (F.col(key) % 2 == 0).alias("t_is_cash"), symbol("sym").alias("t_s_symb"), F.col(qty).cast("int").alias("t_qty"), money(price).alias("t_bid_price"), F.col(account).alias("t_ca_id"), F.lit(" an executor ").alias("t_exec_name"), *[money(price).alias(c) for c in ("t_trade_price", "t_chrg", "t_comm", "t_tax")])
@@ -135,7 +177,10 @@ def derived_bronze(spark: SparkSession, d: str) -> Lazy:
 
 def _query(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return models(derived_bronze(spark, d))(name)
+        bronze = derived_bronze(spark, d)
+        if name in silver.MODELS:
+            return models(bronze)(name)
+        return build(bronze, [name], shared_folder(spark, "warehouse"))(name)
 
     run.__name__ = f"wh_{name}"
     return run

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +23,15 @@ def session(name: str = "tidemark", master: str | None = None, **settings: str)
 
 def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which the driver and all executors share; only a local session may leave that unset."""
+    root = spark.sparkContext.getCheckpointDir()
+    if root is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-tidemark-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -33,9 +33,22 @@ def full_refresh(df: DataFrame, path: str, contract: StructType) -> None:
     assert_contract(df, contract).write.mode("overwrite").parquet(path)
 
 
-def fan_out(df: DataFrame, path: str, by: str) -> None:
-    """One pass over ``df`` writes a folder for each value of ``by``."""
-    df.write.mode("overwrite").partitionBy(by).parquet(path)
+def fan_out(df: DataFrame, path: str, by: str, targets: list[str], rest: str = "other") -> dict[str, int]:
+    """One pass over ``df`` writes a folder for each of ``targets``, by the values of ``by``, and one for what has no target.
+
+    Returns the rows of each target, counted while they are written.
+    """
+    kind = F.when(F.col(by).isin(*targets), F.col(by)).otherwise(rest)
+    seen = Observation()
+    counts = [F.count_if(F.col("_target") == t).alias(f"t{k}") for k, t in enumerate([*targets, rest])]
+    df.withColumn("_target", kind).observe(seen, *counts).write.mode("overwrite").partitionBy("_target").parquet(path)
+    return {t: seen.get[f"t{k}"] for k, t in enumerate([*targets, rest])}
+
+
+def read_target(spark: SparkSession, path: str, target: str, schema: StructType) -> DataFrame:
+    """One target of ``fan_out``; no row of another is read."""
+    every = StructType(schema.fields).add("_target", "string")
+    return spark.read.schema(every).parquet(path).where(F.col("_target") == target).drop("_target")
 
 
 def unloaded_batches(df: DataFrame, control: DataFrame, batch: str = "_batch_id") -> DataFrame:
