@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from tidemark.llm.common import durable
 from tidemark.llm.tokens import Memo, load_tokenizer, of_worker, tokenizer_path
 
 #: Words of documents that make a block, and aligned words that a worker keeps.
-BLOCK_WORDS, MEMO_WORDS = 1_500_000, 250_000
+BLOCK_WORDS, MEMO_WORDS = 1_000_000, 200_000
 APART = r"\s | \Z"  # white space before a space, or a space at the end: such a text isn't cut
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -71,6 +72,15 @@ class Pair:
         self.a_text = np.array([[b"%d," % i, b"%d|" % i] for i in range(len(self.a_bytes))], "S6")
         self.b_text = np.array([[b"%d," % i, b"%d;" % i] for i in range(n)], "S6")
 
+    @staticmethod
+    def _given_back(raw: list[bytes], ids: list[list[int]], pieces: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether the joined pieces of each word are its bytes."""
+        flat, n = _flat(ids)
+        fits = _sums(sizes[flat], n) == np.fromiter(map(len, raw), np.int64, len(raw))
+        if fits.all() and b"".join(map(pieces.__getitem__, flat.tolist())) == b"".join(raw):
+            return fits
+        return np.array([b"".join([pieces[i] for i in x]) == r for x, r in zip(ids, raw)], bool)
+
     def align(self, words: list[str]) -> list[tuple | None]:
         """Of each word, with a space before it: (n_a, n_b, n_groups, groups as text, A ids of one-to-one groups of the same bytes, id pairs of all other links).
 
@@ -79,15 +89,14 @@ class Pair:
         a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
         b = self.b.encode(words, num_threads=1)
         out: list = [None] * len(words)
-        fits = []
-        for k, w in enumerate(words):
-            raw = b" " + w.encode("utf-8", "surrogatepass")
-            if b"".join([self.a_bytes[i] for i in a[k]]) == raw and b"".join([self.b_bytes[i] for i in b[k]]) == raw:
-                fits.append(k)
+        raw = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
+        fits = self._given_back(raw, a, self.a_bytes, self.a_size) & self._given_back(raw, b, self.b_bytes, self.b_size)
+        if not fits.all():
+            a, b = ([x for x, fit in zip(side, fits.tolist()) if fit] for side in (a, b))
+        fits = np.flatnonzero(fits).tolist()
         if not fits:
             return out
-        n_a, n_b = np.array([len(a[k]) for k in fits]), np.array([len(b[k]) for k in fits])
-        a, b = np.concatenate([np.array(a[k], np.int64) for k in fits]), np.concatenate([np.array(b[k], np.int64) for k in fits])
+        (a, n_a), (b, n_b) = _flat(a), _flat(b)
         owner = np.repeat(np.arange(len(fits)), n_a)
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         common = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -117,6 +126,12 @@ class Pair:
         return out
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists as one array, and their lengths."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive parts of the given sizes."""
     total = np.concatenate(([0], np.cumsum(values)))
@@ -153,15 +168,15 @@ class _Block:
         n_plain, n_other = (np.array([len(k[c]) // w for k in known], np.int64) for c, w in ((4, 2), (5, 4)))
         used = np.bincount(refs[np.repeat(good, sizes)], minlength=len(known))
         plain, other = np.frombuffer(b"".join([k[4] for k in known]), "<u2"), np.frombuffer(b"".join([k[5] for k in known]), "<u4")
-        np.add.at(vector, plain, np.repeat(used, n_plain))
+        vector += np.bincount(plain, weights=np.repeat(used, n_plain), minlength=len(vector)).astype(np.int64)
         pairs, index = np.unique(other, return_inverse=True)
         counts = np.bincount(index, weights=np.repeat(used, n_other), minlength=len(pairs)).astype(np.int64)
         columns = [np.where(good, _sums(x[refs], sizes), 0) for x in (n_a, n_b, n_groups, n_plain + n_other)]
-        shas, binaries, at = [], [], 0
+        shas, binaries, at, texts = [], [], 0, [k[3] for k in known]
         for ok, size in zip(good.tolist(), sizes.tolist()):
             mine = refs[at : at + size]
             at += size
-            shas.append(hashlib.sha256(b";".join([known[k][3] for k in mine.tolist()])).hexdigest() if ok and size else "")
+            shas.append(hashlib.sha256(b";".join(map(texts.__getitem__, mine.tolist()))).hexdigest() if ok and size else "")
             binaries.append(mine.tobytes() if ok else b"")
         words = np.int64(len(known)).tobytes() + n_plain.astype("<i4").tobytes() + n_other.astype("<i4").tobytes() + plain.tobytes() + index.astype("<i4").tobytes()
         n = len(self.ids)
