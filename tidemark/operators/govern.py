@@ -101,9 +101,9 @@ def erase_in_place(store: Store, subjects: DataFrame, subject: str, layers: list
         for k in hit:
             by_tags.setdefault(json.dumps(every[k]["tags"], sort_keys=True), []).append(every[k])
         for tags, files in by_tags.items():
-            staged.append(store.stage(p.table, erase(store.read_files(p.table, files), subjects.withColumnRenamed(subject, p.key), p.key, list(p.columns)), **json.loads(tags)))
+            staged.append(store.stage(p.table, erase(store.read_files(p.table, files), marks.withColumnRenamed("_subject", p.key), p.key, list(p.columns)), **json.loads(tags)))
         drop[p.table] = hit
-        entry = erasure_log(store.read_files(p.table, [every[k] for k in hit]), subjects.select(F.col(subject).alias(p.key)), p.key, p.table)
+        entry = erasure_log(store.read_files(p.table, [every[k] for k in hit]), marks.select(F.col("_subject").alias(p.key)), p.key, p.table)
         logs = entry if logs is None else logs.unionByName(entry)
     staged.append(store.stage(log, logs.withColumn("request", F.lit(request))))
     store.commit(*staged, drop=drop, base=base)

@@ -60,10 +60,10 @@ def build(bronze: dict[str, DataFrame], names: list[str], folder: str, at_once:
         return name, df.sparkSession.read.schema(df.schema).parquet(path)
 
     needed = silver_parents(bronze, names)
-    for name in needed:  # plans are made in one thread
-        get(name)
+    planned = [get(name) for name in needed]  # in one thread
+    spark = planned[0].sparkSession
     with ThreadPoolExecutor(at_once) as pool:
-        written = dict(pool.map(inheritable_thread_target(write), needed))
+        written = dict(pool.map(inheritable_thread_target(spark)(write), needed))
     return models(bronze, written)
 
 
