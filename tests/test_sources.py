@@ -109,3 +109,25 @@ def test_sinks(spark, tmp_path):
 def test_field_count_profile(spark):
     df = spark.createDataFrame([("a|b", "f"), ("U|1|a|b", "f"), ("a", "g")], "value string, _source_file string")
     assert {(r._source_file, r.n_fields, r["shape"]) for r in delimited.field_count_profile(df, 2).collect()} == {("f", 2, "base"), ("f", 4, "shifted"), ("g", 1, "unexpected")}
+
+
+@pytest.mark.parametrize("prefix", ["", "TPCDI:", "x-y:"])
+def test_a_large_xml_file_is_split(spark, tmp_path, prefix):
+    path, n = tmp_path / "big.xml", 3000
+    inner = "".join(
+        f'<{prefix}Action ActionType="NEW"\n ActionTS="2007-07-07T02:56:25"><Customer C_ID="{i}" C_TAX_ID="t{i}"><Account CA_ID="{i}" CA_TAX_ST="1"><CA_B_ID>3</CA_B_ID><CA_NAME>Actions &lt;é{i}&gt;</CA_NAME></Account>'
+        f'</Customer></{prefix}Action>' + "\n" * (i % 2) for i in range(n)
+    )
+    path.write_text(f'<?xml version="1.0" encoding="UTF-8"?>\n<{prefix}Actions note="Action">{inner}</{prefix}Actions>\n', encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        read = xml.read_actions(spark, str(path), keep_path=True)
+        assert xml.row_prefix(spark, str(path)) == prefix
+        rows = xml.accounts(read).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.ca_id for r in rows) == list(range(n)) and all(r.ca_name == f"Actions <é{r.ca_id}>" and r.ca_c_id == r.ca_id for r in rows)
+    assert len({r.part for r in rows}) > 5 and read.first()._path.endswith("big.xml")
+    path.write_text("<Nothing/>")
+    assert xml.read_actions(spark, str(path)).count() == 0

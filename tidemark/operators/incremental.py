@@ -49,19 +49,21 @@ def slice_of(source: DataFrame, store: Store, table: str, columns: list[str], sp
     """(rows to append, tags of the step): what ``append_step`` writes.
 
     The mark is a literal, so it is pushed into the source's scan. A row that was sent before has the same business time
-    ``span`` then as now, so the slice is compared with the files alone whose least and greatest times meet the slice's.
+    ``span`` then as now, so the slice is compared with the files alone whose least and greatest times meet the slice's,
+    and rows without time with the files that have such rows. Rows without mark are taken by a first step alone.
     """
     newest = stored_mark(store, table)
     rows = source if newest is None else source.where(F.col(mark) > F.lit(newest).cast(source.schema[mark].dataType))
     text = lambda c: c.cast("string")
-    least, most, last, n = rows.agg(text(F.min(span)), text(F.max(span)), F.max(mark), F.count("*")).first()
-    tags = {"least": least, "most": most, "mark": last, "rows": n}
+    least, most, last, n, timed = rows.agg(text(F.min(span)), text(F.max(span)), F.max(mark), F.count("*"), F.count(span)).first()
+    tags = {"least": least, "most": most, "mark": last, "rows": n, "untimed": n - timed}
     rows = rows.withColumn("_row_hash", row_hash(columns)).dropDuplicates(["_row_hash"])
     if newest is None:
         return rows, tags
     check_schema(source, store.read(table, lambda tags: False))
     # Times of one type have texts of one form, which sort as the times do.
-    meets = lambda t: t["least"] is None or least is None or (t["least"] <= most and t["most"] >= least)
+    within = lambda t: None not in (t["least"], least) and t["least"] <= most and t["most"] >= least
+    meets = lambda t: within(t) or bool(t["untimed"] and n > timed)
     return rows.join(store.read(table, meets).select("_row_hash"), "_row_hash", "left_anti").select(*source.columns, "_row_hash"), tags
 
 
@@ -75,7 +77,7 @@ def append_step(source: DataFrame, store: Store, table: str, columns: list[str],
     rows, tags = slice_of(source, store, table, columns, span, mark)
     if tags["rows"] == 0:
         if not store.manifest()["tables"].get(table):
-            store.commit(store.stage(table, rows, least=None, most=None, mark=None, rows=0))
+            store.commit(store.stage(table, rows, **tags))
         return 0
     base = store.manifest()
     store.commit(store.stage(table, rows, **tags), base=base)

@@ -16,9 +16,27 @@ ACTION = (
 )
 
 
-def read_actions(spark: SparkSession, path: str) -> DataFrame:
-    """Actions of an XML file; prefixes are ignored and large files are split at the row tag."""
-    return spark.read.format("xml").option("rowTag", "Action").option("ignoreNamespace", "true").schema(ACTION).load(path)
+def row_prefix(spark: SparkSession, path: str, tag: str = "Action") -> str:
+    """The namespace prefix, with its colon, that a file's row tags carry; found at the first one."""
+    tags = spark.read.option("lineSep", ">").text(path)
+    found = tags.select(F.regexp_extract("value", rf"(?s)<((?:[\w.-]+:)?){tag}(?:\s.*)?/?$", 1).alias("prefix"), F.col("value").rlike(rf"(?s)<(?:[\w.-]+:)?{tag}(?:\s.*)?/?$").alias("hit"))
+    first = found.where("hit").first()
+    return first.prefix if first else ""
+
+
+def read_actions(spark: SparkSession, path: str, prefix: str | None = None, keep_path: bool = False) -> DataFrame:
+    """Actions of XML files, one to a row; prefixes are ignored.
+
+    Files are cut at the end of their actions, so Spark splits a large file into many tasks (its own XML reader takes a
+    whole file in one). An end tag must not stand in comments or CDATA. ``prefix`` is that of the row tags ("TPCDI:");
+    by default the first action tells it. With ``keep_path`` each row has its file's ``_path``.
+    """
+    prefix = row_prefix(spark, path) if prefix is None else prefix
+    end = f"</{prefix}Action>"
+    cut = spark.read.option("lineSep", end).text(path).select("value", F.col("_metadata.file_path").alias("_path"))
+    begun = F.regexp_extract("value", rf"(?s)<{prefix}Action[\s>].*", 0)
+    rows = cut.select("_path", begun.alias("_begun")).where("_begun <> ''").select("_path", F.concat("_begun", F.lit(end)).alias("_action"))
+    return parse_actions(rows, "_action", ["_path"] if keep_path else [])
 
 
 def parse_actions(df: DataFrame, column: str, keep: list[str] = ()) -> DataFrame:
