@@ -228,7 +228,10 @@ def align_tokenizers(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "pi
     """
     spark = docs.sparkSession
     step = durable(_blocks(docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text"), a, b), "aligned")
-    rows = lambda kind, *keep: step.where(F.col("kind") == kind).select(*keep, F.posexplode(F.arrays_zip("pair", "n")).alias("index", "x")).select(*keep, "index", "x.pair", "x.n")
+    rows = lambda kind, *keep: step.where(F.col("kind") == kind).select(
+        *keep,
+        F.posexplode(F.arrays_zip("pair", "n")).alias("index", "x"),
+    ).select(*keep, "index", "x.pair", "x.n")
     met = rows(PAIRS, "block")
     vector = rows(VECTOR).groupBy("pair").agg(F.sum("n").alias("n"))
     totals = met.select("pair", "n").unionByName(vector).groupBy("pair").agg(F.sum("n").alias("n"))

@@ -219,7 +219,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 found = [sorted(f.items()) for f in index.match_texts(batch.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())), pa.array([max((s for _, s in f), default=0.0) for f in found], pa.float64())],
+                    [
+                        batch.column(0),
+                        batch.column(1),
+                        pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())),
+                        pa.array([max((s for _, s in f), default=0.0) for f in found], pa.float64()),
+                    ],
                     ["doc_id", "row", "items", "similarity"],
                 )
 
@@ -230,7 +235,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if len(parts) > 1:  # a row per document and block; repeated rows are kept apart by their number
         for part in parts[1:]:
             out = out.unionByName(part)
-        out = out.groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("similarity").alias("similarity"), (F.count("*") / len(parts)).cast("int").alias("times"))
+        out = out.groupBy("doc_id", "row").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.max("similarity").alias("similarity"),
+            (F.count("*") / len(parts)).cast("int").alias("times"),
+        )
         out = out.withColumn("again", F.explode(F.sequence(F.lit(1), "times")))
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "similarity")
 

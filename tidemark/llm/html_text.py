@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements that end a block, whose content is no text, and that hold no article text.
-BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset(
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
+)
 RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math canvas object audio video".split())
 BARE = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("head nav header footer aside form menu dialog button select".split())
@@ -42,10 +44,7 @@ MARKS = re.compile(
 
 # Stop-words of English, German, French and Spanish.
 STOP = frozenset(
-    "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which with you "
-    "als am auch auf aus bei das dass dem den der des die ein eine einem einen einer er es für hat ich im ist mit nach nicht sein sich sie sind über um und von vor war werden wie wir zu zum zur "
-    "au aux avec ce ces dans de des du elle en est et eux il ils je la le les leur lui mais ne nous ou par pas plus pour qu que qui sa se ses son sur un une vous "
-    "al como con del el ella en es esta este la las lo los más no o para pero por que se sin su sus un una y ya".split()
+    "a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which with you " "als am auch auf aus bei das dass dem den der des die ein eine einem einen einer er es für hat ich im ist mit nach nicht sein sich sie sind über um und von vor war werden wie wir zu zum zur " "au aux avec ce ces dans de des du elle en est et eux il ils je la le les leur lui mais ne nous ou par pas plus pour qu que qui sa se ses son sur un une vous " "al como con del el ella en es esta este la las lo los más no o para pero por que se sin su sus un una y ya".split()
 )
 
 #: Characters of a short block and of a long one; link shares over which a block is undecided, and bad; stop-word shares
@@ -194,6 +193,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"],
+            )
+
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        "html",
+    ).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -32,19 +32,59 @@ PHRASES = {
 
 # Passages of well-known licences, with a label and the phrases that must be there.
 PASSAGES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["with or without fee is hereby granted"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license version 2 0"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license"]),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
-    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        ["permission is hereby granted free of charge", "without restriction"],
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ["with or without fee is hereby granted"],
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        ["redistribution and use in source and binary forms"],
+    ),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+        ["apache license version 2 0"],
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        ["gnu general public license"],
+    ),
+    (
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        ["gnu lesser general public license"],
+    ),
+    (
+        "agpl",
+        "under the terms of the gnu affero general public license as published by the free software foundation",
+        ["gnu affero general public license"],
+    ),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    (
+        "cc-by-sa",
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        ["creative commons attribution sharealike"],
+    ),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights", ["cc0", "waived all copyright"]),
+    (
+        "cc0",
+        "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights",
+        ["cc0", "waived all copyright"],
+    ),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
+    (
+        "epl",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        ["eclipse public license"],
+    ),
 ]
 
 #: Rare words of a passage that are looked up, the share of them that must agree, and the slack of their position.

@@ -248,8 +248,22 @@ def _links(docs: DataFrame, reps: DataFrame, forest_only: bool) -> DataFrame:
     by_short = trees.groupBy("tree", "short").agg(F.count("*").alias("n_short"), F.sum("n").alias("shingles_short")).where("n_short > 1")
     near = durable(trees.join(by_short, ["tree", "short"]), "subtrees")
     by_full = near.where(F.col("n_short") > SPARSE).groupBy("tree", "full").agg(F.count("*").alias("n_full"), F.sum("n").alias("shingles_full")).where("n_full > 1")
-    sparse = near.where(F.col("n_short") <= SPARSE).select("rep", "copies", "tree", F.col("short").alias("bucket"), F.col("n_short").alias("members"), F.col("shingles_short").alias("shingles"))
-    dense = near.where(F.col("n_short") > SPARSE).join(by_full, ["tree", "full"]).select("rep", "copies", "tree", F.col("full").alias("bucket"), F.col("n_full").alias("members"), F.col("shingles_full").alias("shingles"))
+    sparse = near.where(F.col("n_short") <= SPARSE).select(
+        "rep",
+        "copies",
+        "tree",
+        F.col("short").alias("bucket"),
+        F.col("n_short").alias("members"),
+        F.col("shingles_short").alias("shingles"),
+    )
+    dense = near.where(F.col("n_short") > SPARSE).join(by_full, ["tree", "full"]).select(
+        "rep",
+        "copies",
+        "tree",
+        F.col("full").alias("bucket"),
+        F.col("n_full").alias("members"),
+        F.col("shingles_full").alias("shingles"),
+    )
     rows = sparse.unionByName(dense).withColumn("bucket", F.when(F.col("bucket") == 0, F.lit(1)).otherwise(F.col("bucket")))
     # The buckets a document meets others in, by tree: at most one for each tree; 0 is none.
     by_tree = F.map_from_entries(F.array_distinct(F.collect_list(F.struct("tree", "bucket"))))
@@ -292,7 +306,14 @@ def _classes(docs: DataFrame, forest_only: bool) -> tuple[DataFrame, DataFrame,
     signed = durable(placed.mapInArrow(_sign, "place binary, digest binary, n long, short array<long>, full array<long>"), "signatures")
     # Equal digests have equal signatures, so any one of them stands for the class.
     reps = durable(
-        signed.groupBy("digest").agg(F.min("place").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("short").alias("short"), F.first("full").alias("full")), "classes"
+        signed.groupBy("digest").agg(
+            F.min("place").alias("rep"),
+            F.count("*").alias("copies"),
+            F.first("n").alias("n"),
+            F.first("short").alias("short"),
+            F.first("full").alias("full"),
+        ),
+        "classes",
     )
     found = durable(_links(docs, reps, forest_only), "links")
     groups = connected_components(found.where("dst is not null").select("src", "dst"))
@@ -312,11 +333,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = found.where("dst is null").groupBy("src").agg(F.sum("links").alias("n_links"), F.sum("docs").alias("n_linked_docs"))
     zero = F.lit(0).cast("long")
     classes = classes.join(counts, F.col("src") == F.col("rep"), "left").select(
-        "digest", _id_of("root").alias("class_id"), _id_of("rep").alias("text_id"), F.col("copies").alias("n_copies"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_linked_docs", zero).alias("n_linked_docs")
-    )
+        "digest",
+        _id_of("root").alias("class_id"),
+        _id_of("rep").alias("text_id"),
+        F.col("copies").alias("n_copies"),
+        F.coalesce("n_links", zero).alias("n_links"),
+        F.coalesce("n_linked_docs", zero).alias("n_linked_docs"),
+    )
     out = signed.join(classes, "digest").select(_id_of("place").alias("doc_id"), "class_id", "text_id", "n_copies", "n_links", "n_linked_docs")
     none = F.lit(None).cast("long")
-    nameless = docs.where("doc_id is null").select("doc_id", none.alias("class_id"), none.alias("text_id"), F.lit(1).cast("long").alias("n_copies"), zero.alias("n_links"), zero.alias("n_linked_docs"))
+    nameless = docs.where("doc_id is null").select(
+        "doc_id",
+        none.alias("class_id"),
+        none.alias("text_id"),
+        F.lit(1).cast("long").alias("n_copies"),
+        zero.alias("n_links"),
+        zero.alias("n_linked_docs"),
+    )
     return out.unionByName(nameless)
 
 

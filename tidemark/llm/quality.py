@@ -63,7 +63,16 @@ def measures(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     stutter = sum(a == b for a, b in zip(words, words[1:])) / n
     glue = sum(len(a) <= 3 and a.isalpha() for a in words)
     variety = len(set(words)) / n**0.85
-    values = [odd / n, stutter, upper / max(1, lower + upper), min(variety, 3.0), int(by[_CLASS[33]]) / n, int(by[_CLASS[124]]) / n, glue / n if n > 5 else 0.2, (lower + upper + int(by[3])) / size]
+    values = [
+        odd / n,
+        stutter,
+        upper / max(1, lower + upper),
+        min(variety, 3.0),
+        int(by[_CLASS[33]]) / n,
+        int(by[_CLASS[124]]) / n,
+        glue / n if n > 5 else 0.2,
+        (lower + upper + int(by[3])) / size,
+    ]
     fold = shape[np.flatnonzero(np.diff(shape, prepend=255))] if len(shape) else shape
     return np.array(values), fold
 

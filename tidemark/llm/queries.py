@@ -83,7 +83,23 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.find_runs(table(spark, sf_dir, "documents"), prepare=planted, full=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_join, op3_decontaminate, op4_license, op5_surrogates, op6_quality, op7_line_dedup, op8_html_text, op9_exact_dedup, op10_mixing, op11_token_files, op12_token_alignment, op13_periodic_runs)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_toxicity,
+        op2_near_join,
+        op3_decontaminate,
+        op4_license,
+        op5_surrogates,
+        op6_quality,
+        op7_line_dedup,
+        op8_html_text,
+        op9_exact_dedup,
+        op10_mixing,
+        op11_token_files,
+        op12_token_alignment,
+        op13_periodic_runs,
+    )
+}
 
 ORACLE = {
     "op9_exact_dedup": """

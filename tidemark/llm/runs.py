@@ -224,7 +224,10 @@ def find_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 if waiting and (n >= WORDS_AT_ONCE or k == len(ids)):
                     rows += [_digest(w, r)[: n_columns - 1] for w, r in zip(waiting, _all_runs(waiting))]
                     waiting, n = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(TYPES[: n_columns - 1]))], names=[f.split()[0] for f in kept])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(TYPES[: n_columns - 1]))],
+                names=[f.split()[0] for f in kept],
+            )
 
     TYPES = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])), pa.string()]
     return docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text").mapInArrow(work, ", ".join(kept))

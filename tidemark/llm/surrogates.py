@@ -43,8 +43,18 @@ GIVEN = {
 }
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f", "Dr": "x", "Prof": "x"}
 # Parts that surrogate names are built from, by script, and endings by gender.
-PARTS = {"latin": "ba be bo da de do fa fe fi ga go ha ka ke ki la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(), "cyrillic": "ба бе бо ва ве ви га да де до ка ке ки ла ле ли ма ме ми на не ни ра ре ри са се си та те ти".split()}
-ENDINGS = {("f", "latin"): ["na", "la", "ra", "sa"], ("m", "latin"): ["n", "rt", "s", "l"], ("f", "cyrillic"): ["на", "ла", "ра", "ся"], ("m", "cyrillic"): ["н", "р", "с", "л"], ("x", "latin"): ["man", "ner", "ley", "ton"], ("x", "cyrillic"): ["енко", "ин", "ов", "ский"]}
+PARTS = {
+    "latin": "ba be bo da de do fa fe fi ga go ha ka ke ki la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
+    "cyrillic": "ба бе бо ва ве ви га да де до ка ке ки ла ле ли ма ме ми на не ни ра ре ри са се си та те ти".split(),
+}
+ENDINGS = {
+    ("f", "latin"): ["na", "la", "ra", "sa"],
+    ("m", "latin"): ["n", "rt", "s", "l"],
+    ("f", "cyrillic"): ["на", "ла", "ра", "ся"],
+    ("m", "cyrillic"): ["н", "р", "с", "л"],
+    ("x", "latin"): ["man", "ner", "ley", "ton"],
+    ("x", "cyrillic"): ["енко", "ин", "ов", "ский"],
+}
 
 _GENDER = {name: key for key, names in GIVEN.items() for name in names}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
@@ -296,7 +306,10 @@ def replace_entities(docs: DataFrame, key: bytes = DEMO_KEY, max_overrides: int
                 out[0].append(None if text is None else "".join([*pieces, text[at:]]))
                 out[1].append(len(found))
                 out[2].append(",".join(sorted({k.split("-")[0] for _, _, k, _ in found})))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["doc_id", "text", "n_entities", "kinds"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
+                ["doc_id", "text", "n_entities", "kinds"],
+            )
 
     return rows.mapInArrow(run, "doc_id long, text string, n_entities long, kinds string")
 

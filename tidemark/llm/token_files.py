@@ -186,7 +186,13 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     ends = np.cumsum(sizes)
                     raw = memoryview(ids.astype("<u4").tobytes())
                     crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())]
-                    columns = [pa.array(names, pa.int64()), pa.array(np.full(len(sizes), shard), pa.int64()), pa.array(at + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())]
+                    columns = [
+                        pa.array(names, pa.int64()),
+                        pa.array(np.full(len(sizes), shard), pa.int64()),
+                        pa.array(at + ends - sizes, pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(crcs, pa.int64()),
+                    ]
                     if with_ids:
                         columns.append(pa.ListArray.from_arrays(np.concatenate(([0], ends)).astype(np.int32), pa.array(ids.astype(np.int64))))
                     yield pa.RecordBatch.from_arrays(columns, names=[c.strip().split()[0] for c in schema.split(", ")])
