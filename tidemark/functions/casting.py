@@ -90,7 +90,17 @@ def cast_all(df: DataFrame, casts: list[Cast], keep: list[str] = (), errors: str
             fine = fine | raw.rlike(c.empty)
         values.append(value.alias(c.name))
         if c.cast is not as_text and c.cast is not as_bool:
-            faults.append(F.when(~fine, F.struct(F.lit(c.name).alias("column"), raw.alias("raw_value"), F.lit("CAST").alias("error_type"), F.concat(F.lit("cannot read "), F.lit(c.name)).alias("error_msg"))))
+            faults.append(
+                F.when(
+                    ~fine,
+                    F.struct(
+                        F.lit(c.name).alias("column"),
+                        raw.alias("raw_value"),
+                        F.lit("CAST").alias("error_type"),
+                        F.concat(F.lit("cannot read "), F.lit(c.name)).alias("error_msg"),
+                    ),
+                )
+            )
     return df.select(*keep, *values, pack_errors(faults).alias(errors))
 
 

@@ -87,7 +87,15 @@ def test_results(run_id: str, model: str, tests: dict[str, tuple[DataFrame, str]
     for name, (bad, severity) in tests.items():
         n = bad.agg(F.count("*").alias("failures"))
         status = F.when(F.col("failures") == 0, "pass").otherwise("fail" if severity == "error" else "warn")
-        row = n.select(F.lit(run_id).alias("run_id"), F.lit(model).alias("model"), F.lit(name).alias("test"), F.lit(severity).alias("severity"), "failures", status.alias("status"), F.concat(F.col("failures").cast("string"), F.lit(" violating rows")).alias("message"))
+        row = n.select(
+            F.lit(run_id).alias("run_id"),
+            F.lit(model).alias("model"),
+            F.lit(name).alias("test"),
+            F.lit(severity).alias("severity"),
+            "failures",
+            status.alias("status"),
+            F.concat(F.col("failures").cast("string"), F.lit(" violating rows")).alias("message"),
+        )
         rows = row if rows is None else rows.unionByName(row)
     return rows
 
@@ -122,7 +130,15 @@ def true_test(name: str, condition: Column, severity: str = "error") -> RowTest:
 def _judged(rows: DataFrame, run_id: str, model: str) -> DataFrame:
     """(test, severity, failures) rows to rows of the log."""
     status = F.when(F.col("failures") == 0, "pass").otherwise(F.when(F.col("severity") == "error", "fail").otherwise("warn"))
-    return rows.select(F.lit(run_id).alias("run_id"), F.lit(model).alias("model"), "test", "severity", "failures", status.alias("status"), F.concat(F.col("failures").cast("string"), F.lit(" violating rows")).alias("message"))
+    return rows.select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(model).alias("model"),
+        "test",
+        "severity",
+        "failures",
+        status.alias("status"),
+        F.concat(F.col("failures").cast("string"), F.lit(" violating rows")).alias("message"),
+    )
 
 
 def row_test_results(df: DataFrame, run_id: str, model: str, tests: list[RowTest]) -> DataFrame:

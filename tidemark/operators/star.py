@@ -90,7 +90,16 @@ def interval_join(events: DataFrame, versions: DataFrame, on: str, day: Column,
     return events.join(v, hit, how).drop("_on")
 
 
-def asof_merge(events: DataFrame, versions: DataFrame, on: str, day: str, columns: list[str], segment: Column | None = None, start: str = "valid_from_date", end: str = "valid_to_date") -> DataFrame:
+def asof_merge(
+    events: DataFrame,
+    versions: DataFrame,
+    on: str,
+    day: str,
+    columns: list[str],
+    segment: Column | None = None,
+    start: str = "valid_from_date",
+    end: str = "valid_to_date",
+) -> DataFrame:
     """``interval_join`` (left) as a merge: events and versions in one sorted pass, work linear in both.
 
     Each event takes the last version that starts on or before its day, if that one has not ended by then. Versions of a
@@ -99,7 +108,13 @@ def asof_merge(events: DataFrame, versions: DataFrame, on: str, day: str, column
     segments of time (by the ``day`` column, on both sides): keys with very many events are then merged in parallel.
     """
     taken = {"_version": F.struct(F.col(start).alias("_start"), F.col(end).alias("_end"), *[F.col(c).alias(f"_v{k}") for k, c in enumerate(columns)])}
-    kind = versions.select(F.col(on), F.col(start).alias(day), F.lit(0).alias("_side"), F.col(end).alias("_until"), *[c.alias(n) for n, c in taken.items()]).where(F.col(on).isNotNull() & F.col(day).isNotNull())
+    kind = versions.select(
+        F.col(on),
+        F.col(start).alias(day),
+        F.lit(0).alias("_side"),
+        F.col(end).alias("_until"),
+        *[c.alias(n) for n, c in taken.items()],
+    ).where(F.col(on).isNotNull() & F.col(day).isNotNull())
     sided = events.withColumns({"_side": F.lit(1), "_until": F.lit(None).cast(versions.schema[end].dataType)})
     both = sided.unionByName(kind, allowMissingColumns=True)
     order = [day, "_side", "_until"]  # an open end is NULL, and the latest

@@ -57,7 +57,14 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- sources
 
 ORDER_SPEC = delimited.DelimitedSpec(
-    (Cast("o_orderkey", casting.as_long), Cast("o_custkey", casting.as_long), Cast("o_orderstatus"), Cast("o_totalprice", casting.as_decimal(12, 2)), Cast("o_orderdate", casting.as_date)), changes=True
+    (
+        Cast("o_orderkey", casting.as_long),
+        Cast("o_custkey", casting.as_long),
+        Cast("o_orderstatus"),
+        Cast("o_totalprice", casting.as_decimal(12, 2)),
+        Cast("o_orderdate", casting.as_date),
+    ),
+    changes=True,
 )
 
 
@@ -123,23 +130,47 @@ def order_actions(spark: SparkSession, d: str) -> DataFrame:
     that is not lowered for their size; where the join shuffles, it does so by this key anyway.
     """
     o, li = table(spark, d, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey"), table(spark, d, "lineitem")
-    account = F.concat(F.lit('<Account CA_ID="'), "l_partkey", F.lit('" CA_TAX_ST="'), "l_linenumber", F.lit('"><CA_B_ID>'), "l_suppkey", F.lit("</CA_B_ID><CA_NAME>"), "l_returnflag", F.lit("</CA_NAME></Account>"))
+    account = F.concat(
+        F.lit('<Account CA_ID="'),
+        "l_partkey",
+        F.lit('" CA_TAX_ST="'),
+        "l_linenumber",
+        F.lit('"><CA_B_ID>'),
+        "l_suppkey",
+        F.lit("</CA_B_ID><CA_NAME>"),
+        "l_returnflag",
+        F.lit("</CA_NAME></Account>"),
+    )
     inner = li.groupBy("l_orderkey").agg(F.concat_ws("", F.collect_list(account)).alias("accounts"))
     text = F.concat(
-        F.lit('<TPCDI:Action ActionType="NEW" ActionTS="'), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('"><Customer C_ID="'), "o_custkey", F.lit('" C_TAX_ID="'), "o_orderkey",
-        F.lit('"><Name><C_L_NAME>'), "o_orderpriority", F.lit("</C_L_NAME></Name><ContactInfo><C_PHONE_1><C_LOCAL>"), "o_orderkey", F.lit("</C_LOCAL></C_PHONE_1></ContactInfo>"),
-        F.coalesce("accounts", F.lit("")), F.lit("</Customer></TPCDI:Action>"),
-    )
+        F.lit('<TPCDI:Action ActionType="NEW" ActionTS="'),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.lit('"><Customer C_ID="'),
+        "o_custkey",
+        F.lit('" C_TAX_ID="'),
+        "o_orderkey",
+        F.lit('"><Name><C_L_NAME>'),
+        "o_orderpriority",
+        F.lit("</C_L_NAME></Name><ContactInfo><C_PHONE_1><C_LOCAL>"),
+        "o_orderkey",
+        F.lit("</C_LOCAL></C_PHONE_1></ContactInfo>"),
+        F.coalesce("accounts", F.lit("")),
+        F.lit("</Customer></TPCDI:Action>"),
+    )
     return o.join(inner, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", text.alias("value"))
 
 
-@query("SELECT o_orderkey, 'NEW' AS actiontype, o_orderdate AS actionts, o_custkey AS c_id, o_orderkey::VARCHAR AS c_tax_id, o_orderpriority AS c_l_name, o_orderkey::VARCHAR AS c_local_1, NULL::VARCHAR AS c_local_2 FROM orders")
+@query(
+    "SELECT o_orderkey, 'NEW' AS actiontype, o_orderdate AS actionts, o_custkey AS c_id, o_orderkey::VARCHAR AS c_tax_id, o_orderpriority AS c_l_name, o_orderkey::VARCHAR AS c_local_1, NULL::VARCHAR AS c_local_2 FROM orders"
+)
 def parse_xml_parent(spark: SparkSession, d: str) -> DataFrame:
     rows = xml.customers(xml.parse_actions(order_actions(spark, d), "value", ["o_orderkey"]), ["o_orderkey"])
     return rows.select("o_orderkey", "actiontype", "actionts", "c_id", "c_tax_id", "c_l_name", "c_local_1", "c_local_2")
 
 
-@query("SELECT o_orderkey, 'NEW' AS actiontype, o_orderdate AS actionts, o_custkey AS ca_c_id, l_partkey AS ca_id, l_linenumber AS ca_tax_st, l_suppkey AS ca_b_id, l_returnflag AS ca_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+@query(
+    "SELECT o_orderkey, 'NEW' AS actiontype, o_orderdate AS actionts, o_custkey AS ca_c_id, l_partkey AS ca_id, l_linenumber AS ca_tax_st, l_suppkey AS ca_b_id, l_returnflag AS ca_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+)
 def parse_xml_children(spark: SparkSession, d: str) -> DataFrame:
     return xml.accounts(xml.parse_actions(order_actions(spark, d), "value", ["o_orderkey"]), ["o_orderkey"])
 
@@ -153,9 +184,14 @@ def batch_calendar(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- casts and keys
 
 
-@query("""SELECT l_linenumber, count(*) AS n_rows, count_if(l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0) AS n_values, count_if(l_orderkey % 7 = 0 AND l_orderkey % 11 <> 0) AS n_errors FROM lineitem GROUP BY 1""")
+@query(
+    """SELECT l_linenumber, count(*) AS n_rows, count_if(l_orderkey % 7 <> 0 AND l_orderkey % 11 <> 0) AS n_values, count_if(l_orderkey % 7 = 0 AND l_orderkey % 11 <> 0) AS n_errors FROM lineitem GROUP BY 1"""
+)
 def safe_cast_errors(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("l_orderkey") % 11 == 0, "  ").when(F.col("l_orderkey") % 7 == 0, F.concat(F.col("l_quantity").cast("string"), F.lit("x"))).otherwise(F.col("l_quantity").cast("string"))
+    raw = F.when(F.col("l_orderkey") % 11 == 0, "  ").when(
+        F.col("l_orderkey") % 7 == 0,
+        F.concat(F.col("l_quantity").cast("string"), F.lit("x")),
+    ).otherwise(F.col("l_quantity").cast("string"))
     rows = casting.cast_all(table(spark, d, "lineitem").select("l_linenumber", raw.alias("quantity")), [Cast("quantity", casting.as_double)], ["l_linenumber"])
     return rows.groupBy("l_linenumber").agg(F.count("*").alias("n_rows"), F.count("quantity").alias("n_values"), F.sum(casting.error_count(F.col("_dq_errors"))).alias("n_errors"))
 
@@ -165,10 +201,16 @@ def safe_cast_errors(spark: SparkSession, d: str) -> DataFrame:
 def cast_formats(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     text = e.select(
-        "event_id", "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("plain"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format("ts", "yyyyMMdd-HHmmss").alias("compact"),
-        F.date_format("ts", "y-M-d").alias("day"), F.when(F.col("event_id") % 4 == 0, "00000000").otherwise(F.date_format("ts", "yyyyMMdd")).alias("compact_day"),
-        F.when(F.col("event_id") % 3 == 0, "Y").otherwise("no").alias("flag"), F.col("value").cast("decimal(12,2)").cast("string").alias("amount"),
-    )
+        "event_id",
+        "ts",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("plain"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"),
+        F.date_format("ts", "yyyyMMdd-HHmmss").alias("compact"),
+        F.date_format("ts", "y-M-d").alias("day"),
+        F.when(F.col("event_id") % 4 == 0, "00000000").otherwise(F.date_format("ts", "yyyyMMdd")).alias("compact_day"),
+        F.when(F.col("event_id") % 3 == 0, "Y").otherwise("no").alias("flag"),
+        F.col("value").cast("decimal(12,2)").cast("string").alias("amount"),
+    )
     return text.select(
         "event_id", casting.as_timestamp()(F.col("plain")).alias("plain"), casting.ISO_TIMESTAMP(F.col("iso")).alias("iso"), casting.COMPACT_TIMESTAMP(F.col("compact")).alias("compact"),
         casting.as_date(F.col("day")).alias("day"), casting.as_compact_date(F.col("compact_day")).alias("compact_day"), casting.as_bool(F.col("flag")).alias("flag"),
@@ -185,18 +227,39 @@ def row_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, md5(concat_ws('-', l_orderkey, l_linenumber)) AS sk, strftime(l_shipdate, '%Y%m%d')::INT AS date_key FROM lineitem")
 def surrogate_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", keys.surrogate_key("l_orderkey", "l_linenumber").alias("sk"), keys.smart_date_key(F.col("l_shipdate")).alias("date_key"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        keys.surrogate_key("l_orderkey", "l_linenumber").alias("sk"),
+        keys.smart_date_key(F.col("l_shipdate")).alias("date_key"),
+    )
 
 
 @query("SELECT p_partkey, upper(p_name) AS name, NULL::VARCHAR AS blank, p_type AS type FROM part")
 def trim_or_null(spark: SparkSession, d: str) -> DataFrame:
-    padded = table(spark, d, "part").select("p_partkey", F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("name"), F.lit("   ").alias("blank"), F.concat("p_type", F.lit("  ")).alias("type"))
-    return padded.select("p_partkey", casting.trim_or_null(F.col("name"), upper=True).alias("name"), casting.trim_or_null(F.col("blank")).alias("blank"), casting.trim_or_null(F.col("type")).alias("type"))
+    padded = table(spark, d, "part").select(
+        "p_partkey",
+        F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("name"),
+        F.lit("   ").alias("blank"),
+        F.concat("p_type", F.lit("  ")).alias("type"),
+    )
+    return padded.select(
+        "p_partkey",
+        casting.trim_or_null(F.col("name"), upper=True).alias("name"),
+        casting.trim_or_null(F.col("blank")).alias("blank"),
+        casting.trim_or_null(F.col("type")).alias("type"),
+    )
 
 
 @query("WITH " + EV + " SELECT event_id, _batch_id, 'events_' || _batch_id || '.txt' AS _source_file, md5(concat_ws('|', user_id, event_type, props)) AS _row_hash FROM ev")
 def envelope(spark: SparkSession, d: str) -> DataFrame:
-    e = keys.with_envelope(events(spark, d), F.col("_batch_id"), ["user_id", "event_type", "props"], F.concat(F.lit("events_"), F.col("_batch_id").cast("string"), F.lit(".txt")), F.current_timestamp())
+    e = keys.with_envelope(
+        events(spark, d),
+        F.col("_batch_id"),
+        ["user_id", "event_type", "props"],
+        F.concat(F.lit("events_"), F.col("_batch_id").cast("string"), F.lit(".txt")),
+        F.current_timestamp(),
+    )
     return e.select("event_id", "_batch_id", "_source_file", "_row_hash")
 
 
@@ -308,7 +371,9 @@ def scd1_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return scd.scd1(events(spark, d), ["user_id"], [down("_batch_id"), up("event_id")]).select("user_id", "_batch_id", "event_id")
 
 
-@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_totalprice::DECIMAL(15,2)) AS DOUBLE) AS total FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) GROUP BY 1")
+@query(
+    "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_totalprice::DECIMAL(15,2)) AS DOUBLE) AS total FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) GROUP BY 1"
+)
 def latest_state(spark: SparkSession, d: str) -> DataFrame:
     """Additive measures on the latest state alone, so no amount counts once for each version."""
     now = scd.latest_state(table(spark, d, "orders"), ["o_custkey"], [down("o_orderdate"), down("o_orderkey")])
@@ -359,11 +424,24 @@ def dimension_unknown(spark: SparkSession, d: str) -> DataFrame:
 def fact_resolve_fks(spark: SparkSession, d: str) -> DataFrame:
     suppliers = star.dimension(table(spark, d, "supplier"), "supplier_sk", ["s_suppkey"], ["s_suppkey"], {"s_suppkey": -1})
     known = part_dim(spark, d).where("p_partkey % 17 <> 0")
-    fact = star.resolve(table(spark, d, "lineitem"), star.Lookup(known, "part_sk", {"l_partkey": "p_partkey"}, "part_sk"), star.Lookup(suppliers, "supplier_sk", {"l_suppkey": "s_suppkey"}, "supplier_sk"))
-    return fact.select("l_orderkey", "l_linenumber", "part_sk", "supplier_sk", keys.smart_date_key(F.col("l_shipdate")).alias("date_key"), money("l_extendedprice").cast("double").alias("amount"))
+    fact = star.resolve(
+        table(spark, d, "lineitem"),
+        star.Lookup(known, "part_sk", {"l_partkey": "p_partkey"}, "part_sk"),
+        star.Lookup(suppliers, "supplier_sk", {"l_suppkey": "s_suppkey"}, "supplier_sk"),
+    )
+    return fact.select(
+        "l_orderkey",
+        "l_linenumber",
+        "part_sk",
+        "supplier_sk",
+        keys.smart_date_key(F.col("l_shipdate")).alias("date_key"),
+        money("l_extendedprice").cast("double").alias("amount"),
+    )
 
 
-@query("SELECT l_orderkey, l_linenumber, o_custkey, strftime(o_orderdate, '%Y%m%d')::INT AS order_date_key, strftime(l_shipdate, '%Y%m%d')::INT AS ship_date_key FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 5 <> 0")
+@query(
+    "SELECT l_orderkey, l_linenumber, o_custkey, strftime(o_orderdate, '%Y%m%d')::INT AS order_date_key, strftime(l_shipdate, '%Y%m%d')::INT AS ship_date_key FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 5 <> 0"
+)
 def derived_fk_fact(spark: SparkSession, d: str) -> DataFrame:
     """Keys taken from another fact; lines whose order is missing drop out."""
     o = table(spark, d, "orders").where("o_orderkey % 5 <> 0").select("o_orderkey", "o_custkey", keys.smart_date_key(F.col("o_orderdate")).alias("order_date_key"))
@@ -380,8 +458,18 @@ def point_in_time(spark: SparkSession, d: str) -> DataFrame:
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 def star_revenue(spark: SparkSession, d: str) -> DataFrame:
     t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer", "nation", "region", "part")}
-    joined = star.star(t["lineitem"], (t["part"], "l_partkey", "p_partkey"), (t["orders"], "l_orderkey", "o_orderkey"), (t["customer"], "o_custkey", "c_custkey"), (t["nation"], "c_nationkey", "n_nationkey"), (t["region"], "n_regionkey", "r_regionkey"))
-    return joined.groupBy("r_name", "p_brand", F.year("o_orderdate").alias("year")).agg(total(money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)")), "revenue"), F.count("*").alias("n"))
+    joined = star.star(
+        t["lineitem"],
+        (t["part"], "l_partkey", "p_partkey"),
+        (t["orders"], "l_orderkey", "o_orderkey"),
+        (t["customer"], "o_custkey", "c_custkey"),
+        (t["nation"], "c_nationkey", "n_nationkey"),
+        (t["region"], "n_regionkey", "r_regionkey"),
+    )
+    return joined.groupBy("r_name", "p_brand", F.year("o_orderdate").alias("year")).agg(
+        total(money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)")), "revenue"),
+        F.count("*").alias("n"),
+    )
 
 
 @query(f"""WITH {ORDER_VERSIONS}, sales AS (SELECT o_custkey, l_shipdate::DATE AS day, CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS amount FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
@@ -389,7 +477,10 @@ def star_revenue(spark: SparkSession, d: str) -> DataFrame:
 def scd2_asof_revenue(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: revenue by the status that the customer had on the day of shipment."""
     li = table(spark, d, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("day"), (money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("amount"))
-    sales = li.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "day").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
+    sales = li.join(
+        table(spark, d, "orders").select("o_orderkey", "o_custkey"),
+        F.col("l_orderkey") == F.col("o_orderkey"),
+    ).groupBy("o_custkey", "day").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
     joined = star.interval_join(sales, order_versions(spark, d).select("o_custkey", "o_orderstatus", "valid_from_date", "valid_to_date"), "o_custkey", F.col("day"))
     return joined.groupBy(F.coalesce("o_orderstatus", F.lit("Unknown")).alias("status")).agg(total(F.col("amount"), "revenue"), F.sum("n").alias("n"))
 
@@ -397,13 +488,18 @@ def scd2_asof_revenue(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- joins
 
 
-@query("SELECT cn.n_name AS customer_nation, sn.n_name AS supplier_nation, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN nation sn ON sn.n_nationkey = s_nationkey GROUP BY 1, 2")
+@query(
+    "SELECT cn.n_name AS customer_nation, sn.n_name AS supplier_nation, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN nation sn ON sn.n_nationkey = s_nationkey GROUP BY 1, 2"
+)
 def role_playing(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     customers = table(spark, d, "customer").join(n.toDF("ck", "customer_nation"), F.col("ck") == F.col("c_nationkey")).select("c_custkey", "customer_nation")
     suppliers = table(spark, d, "supplier").join(n.toDF("sk", "supplier_nation"), F.col("sk") == F.col("s_nationkey")).select("s_suppkey", "supplier_nation")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
-    rows = li.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(customers, F.col("c_custkey") == F.col("o_custkey"))
+    rows = li.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        table(spark, d, "orders").select("o_orderkey", "o_custkey"),
+        F.col("o_orderkey") == F.col("l_orderkey"),
+    ).join(customers, F.col("c_custkey") == F.col("o_custkey"))
     return rows.groupBy("customer_nation", "supplier_nation").agg(F.count("*").alias("n"))
 
 
@@ -425,7 +521,9 @@ def split_or_join(spark: SparkSession, d: str) -> DataFrame:
     return star.reference_join(li, table(spark, d, "supplier"), "id", "name", "s_suppkey", "s_suppkey", "s_name", [up("s_suppkey")], missing=-1)
 
 
-@query("SELECT coalesce(o.y, l.y) AS year, coalesce(o.n, 0) AS orders, coalesce(l.n, 0) AS shipments FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1) o FULL JOIN (SELECT year(l_shipdate) AS y, count(*) AS n FROM lineitem GROUP BY 1) l ON o.y = l.y")
+@query(
+    "SELECT coalesce(o.y, l.y) AS year, coalesce(o.n, 0) AS orders, coalesce(l.n, 0) AS shipments FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1) o FULL JOIN (SELECT year(l_shipdate) AS y, count(*) AS n FROM lineitem GROUP BY 1) l ON o.y = l.y"
+)
 def full_outer_counts(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("orders"))
     li = table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.count("*").alias("shipments"))
@@ -444,7 +542,9 @@ def nested_exists(spark: SparkSession, d: str) -> DataFrame:
     return nested.where(F.exists("lines", lambda x: (x["l_returnflag"] == "R") & (x["l_quantity"] >= 45))).select("l_orderkey")
 
 
-@query("SELECT 'customer' AS kind, c_custkey AS party_key, c_name AS name, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier', s_suppkey, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+@query(
+    "SELECT 'customer' AS kind, c_custkey AS party_key, c_name AS name, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier', s_suppkey, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey"
+)
 def union_parties(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
     c = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("party_key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n_nationkey"))
@@ -460,7 +560,9 @@ def top_orders(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- data tests
 
 
-@query("WITH " + EV + " SELECT 'v' AS column_name, count_if(v IS NULL) AS failures FROM ev UNION ALL SELECT 'user_id', count_if(user_id IS NULL) FROM ev UNION ALL SELECT 'ts', count_if(ts IS NULL) FROM ev")
+@query(
+    "WITH " + EV + " SELECT 'v' AS column_name, count_if(v IS NULL) AS failures FROM ev UNION ALL SELECT 'user_id', count_if(user_id IS NULL) FROM ev UNION ALL SELECT 'ts', count_if(ts IS NULL) FROM ev"
+)
 def dq_not_null(spark: SparkSession, d: str) -> DataFrame:
     return quality.null_counts(events(spark, d), ["v", "user_id", "ts"])
 
@@ -521,7 +623,9 @@ def dq_scd2_current(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_one_current(faulty_versions(spark, d), "o_custkey")
 
 
-@query("WITH " + EV + " SELECT event_id, lag(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_value FROM ev QUALIFY v IS NULL AND lag(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL")
+@query(
+    "WITH " + EV + " SELECT event_id, lag(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_value FROM ev QUALIFY v IS NULL AND lag(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL"
+)
 def dq_fill_sanity(spark: SparkSession, d: str) -> DataFrame:
     return quality.fill_lost(events(spark, d), "user_id", [up("ts"), up("event_id")], "v").select("event_id", "last_value")
 
@@ -534,13 +638,19 @@ def dq_false_version(spark: SparkSession, d: str) -> DataFrame:
 ALLOWED = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("view", "error"), ("click", "error"), ("purchase", "view"), ("error", "view")]
 
 
-@query("SELECT event_id, p AS previous, event_type AS current FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p <> event_type AND (p, event_type) NOT IN (" + ", ".join(str(a) for a in ALLOWED) + ")")
+@query(
+    "SELECT event_id, p AS previous, event_type AS current FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p <> event_type AND (p, event_type) NOT IN (" + ", ".join(
+        str(a) for a in ALLOWED
+    ) + ")"
+)
 def dq_state_machine(spark: SparkSession, d: str) -> DataFrame:
     allowed = spark.createDataFrame(ALLOWED, "previous string, current string")
     return scd.transitions_not_allowed(table(spark, d, "events"), ["user_id"], [up("ts"), up("event_id")], "event_type", allowed).select("event_id", "previous", "current")
 
 
-@query("SELECT 'events' AS source, max(ts) AS newest, round(date_diff('microsecond', max(ts), TIMESTAMP '2024-02-02') // 1000000 / 3600.0, 6) AS age_hours, CASE WHEN date_diff('microsecond', max(ts), TIMESTAMP '2024-02-02') // 1000000 / 3600.0 <= 24 THEN 'PASS' ELSE 'WARN' END AS status FROM events")
+@query(
+    "SELECT 'events' AS source, max(ts) AS newest, round(date_diff('microsecond', max(ts), TIMESTAMP '2024-02-02') // 1000000 / 3600.0, 6) AS age_hours, CASE WHEN date_diff('microsecond', max(ts), TIMESTAMP '2024-02-02') // 1000000 / 3600.0 <= 24 THEN 'PASS' ELSE 'WARN' END AS status FROM events"
+)
 def dq_freshness(spark: SparkSession, d: str) -> DataFrame:
     return quality.freshness(table(spark, d, "events"), "ts", F.lit("2024-02-02").cast("timestamp_ntz"), 24, "events").withColumn("age_hours", F.round("age_hours", 6))
 

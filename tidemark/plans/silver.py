@@ -277,9 +277,21 @@ def trade(bronze: Bronze) -> DataFrame:
 def trade_history(bronze: Bronze) -> DataFrame:
     """The first batch's lifecycle, and real status changes of later batches."""
     first = bronze["trade_history"].where("th_t_id is not null and th_dts is not null")
-    first = first.select(F.col("th_t_id").alias("trade_id"), F.col("th_dts").alias("status_ts"), trim_or_null(F.col("th_st_id"), True).alias("status_id"), *ENVELOPE, F.lit(0).cast("bigint").alias("_cdc_dsn"))
+    first = first.select(
+        F.col("th_t_id").alias("trade_id"),
+        F.col("th_dts").alias("status_ts"),
+        trim_or_null(F.col("th_st_id"), True).alias("status_id"),
+        *ENVELOPE,
+        F.lit(0).cast("bigint").alias("_cdc_dsn"),
+    )
     later = bronze["trade"].where("t_id is not null and t_dts is not null and _batch_id <> 1")
-    later = later.select(F.col("t_id").alias("trade_id"), F.col("t_dts").alias("status_ts"), trim_or_null(F.col("t_st_id"), True).alias("status_id"), *ENVELOPE, F.col("_cdc_dsn").cast("bigint").alias("_cdc_dsn"))
+    later = later.select(
+        F.col("t_id").alias("trade_id"),
+        F.col("t_dts").alias("status_ts"),
+        trim_or_null(F.col("t_st_id"), True).alias("status_id"),
+        *ENVELOPE,
+        F.col("_cdc_dsn").cast("bigint").alias("_cdc_dsn"),
+    )
     rows = status_transitions(first, later, ["trade_id"], [up("_batch_id"), up("status_ts"), up("_cdc_dsn"), up("_loaded_at"), up("_row_hash")], "status_id")
     rows = rows.withColumn("_source_model", F.when(F.col("origin") == "history", "bronze_trade_history").otherwise("bronze_trade")).drop("origin", "_cdc_dsn")
     return dedup_latest(rows, ["trade_id", "status_ts", "status_id"], _newest())
@@ -325,8 +337,26 @@ def _entity(bronze: Bronze, flat: str, actions: str, needs: str, status: str, by
     for name, value in by_action.items():
         told = F.when(action == name, F.lit(value)).otherwise(told)
     none = F.lit(None).cast("timestamp_ntz").alias("action_ts")
-    left = cleaned(bronze[flat], flat, trim_or_null(F.col(status), True).alias("status_id"), trim_or_null(F.col("_cdc_flag"), True).alias("cdc_flag"), F.col("_cdc_dsn").cast("bigint").alias("_cdc_dsn"), none, F.lit(f"bronze_{flat}").alias("_source_table"), needs=[needs])
-    right = cleaned(a, flat, told.alias("status_id"), F.when(action == "NEW", "I").otherwise("U").alias("cdc_flag"), F.lit(0).cast("bigint").alias("_cdc_dsn"), F.col("actionts").alias("action_ts"), F.lit(f"bronze_{actions}").alias("_source_table"), needs=[needs])
+    left = cleaned(
+        bronze[flat],
+        flat,
+        trim_or_null(F.col(status), True).alias("status_id"),
+        trim_or_null(F.col("_cdc_flag"), True).alias("cdc_flag"),
+        F.col("_cdc_dsn").cast("bigint").alias("_cdc_dsn"),
+        none,
+        F.lit(f"bronze_{flat}").alias("_source_table"),
+        needs=[needs],
+    )
+    right = cleaned(
+        a,
+        flat,
+        told.alias("status_id"),
+        F.when(action == "NEW", "I").otherwise("U").alias("cdc_flag"),
+        F.lit(0).cast("bigint").alias("_cdc_dsn"),
+        F.col("actionts").alias("action_ts"),
+        F.lit(f"bronze_{actions}").alias("_source_table"),
+        needs=[needs],
+    )
     return left, right
 
 
@@ -344,10 +374,24 @@ def customer(bronze: Bronze) -> DataFrame:
 
 
 MODELS = {
-    "silver_date": _reference("date", "date_sk", "sk_dateid"), "silver_time": _reference("time", "time_sk", "sk_timeid"), "silver_status_type": _reference("status_type", "status_id", "st_id"),
-    "silver_tax_rate": _reference("tax_rate", "tax_rate_id", "tx_id"), "silver_industry": _reference("industry", "industry_id", "in_id"), "silver_trade_type": _reference("trade_type", "trade_type_id", "tt_id"),
-    "silver_hr": _reference("hr", "employee_id", "employeeid"), "silver_cash_transaction": _log("cash_transaction", "ct_ca_id"), "silver_daily_market": _log("daily_market", "dm_date", "dm_s_symb"),
-    "silver_holding_history": _log("holding_history", "hh_t_id"), "silver_watch_history": _log("watch_history", "w_c_id"), "silver_account": account, "silver_customer": customer, "silver_trade": trade,
-    "silver_prospect": prospect, "silver_finwire_company": finwire_company, "silver_finwire_security": finwire_security, "silver_finwire_financials": finwire_financials, "silver_trade_history": trade_history,
-}
+    "silver_date": _reference("date", "date_sk", "sk_dateid"),
+    "silver_time": _reference("time", "time_sk", "sk_timeid"),
+    "silver_status_type": _reference("status_type", "status_id", "st_id"),
+    "silver_tax_rate": _reference("tax_rate", "tax_rate_id", "tx_id"),
+    "silver_industry": _reference("industry", "industry_id", "in_id"),
+    "silver_trade_type": _reference("trade_type", "trade_type_id", "tt_id"),
+    "silver_hr": _reference("hr", "employee_id", "employeeid"),
+    "silver_cash_transaction": _log("cash_transaction", "ct_ca_id"),
+    "silver_daily_market": _log("daily_market", "dm_date", "dm_s_symb"),
+    "silver_holding_history": _log("holding_history", "hh_t_id"),
+    "silver_watch_history": _log("watch_history", "w_c_id"),
+    "silver_account": account,
+    "silver_customer": customer,
+    "silver_trade": trade,
+    "silver_prospect": prospect,
+    "silver_finwire_company": finwire_company,
+    "silver_finwire_security": finwire_security,
+    "silver_finwire_financials": finwire_financials,
+    "silver_trade_history": trade_history,
+}
 

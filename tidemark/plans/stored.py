@@ -81,7 +81,9 @@ def fan_out_union(spark: SparkSession, d: str) -> DataFrame:
     return whole.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH kinds AS (SELECT unnest(['click', 'view', 'purchase', 'other']) AS target) SELECT target, count(event_id) AS n FROM kinds LEFT JOIN events ON target = CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'other' END GROUP BY 1")
+@query(
+    "WITH kinds AS (SELECT unnest(['click', 'view', 'purchase', 'other']) AS target) SELECT target, count(event_id) AS n FROM kinds LEFT JOIN events ON target = CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'other' END GROUP BY 1"
+)
 def fan_out_counts(spark: SparkSession, d: str) -> DataFrame:
     """What each target got, counted while it was written; empty targets count 0."""
     counts = sinks.fan_out(table(spark, d, "events"), f"{shared_folder(spark, 'fan-out')}/targets", "event_type", ["click", "view", "purchase"])
@@ -217,7 +219,16 @@ def asof_merge(spark: SparkSession, d: str) -> DataFrame:
 def asof_merge_hot(spark: SparkSession, d: str) -> DataFrame:
     """The same where one user holds half of all events: segments of time are merged in parallel."""
     hot = one_hot(events(spark, d))
-    built = scd.scd2(hot.select("user_id", "event_id", "ts", "_batch_id", "event_type", "v"), "user_id", "ts", ["event_id"], ["event_type"], ["v"], batch=["_batch_id"], segment=incremental.segments(hot, "ts", 32))
+    built = scd.scd2(
+        hot.select("user_id", "event_id", "ts", "_batch_id", "event_type", "v"),
+        "user_id",
+        "ts",
+        ["event_id"],
+        ["event_type"],
+        ["v"],
+        batch=["_batch_id"],
+        segment=incremental.segments(hot, "ts", 32),
+    )
     v = built.select("user_id", F.col("event_type").alias("state"), "valid_from_date", "valid_to_date")
     e = hot.select("event_id", "user_id", F.date_sub(F.to_date("ts"), 1).alias("day"))
     return star.asof_merge(e, v, "user_id", "day", ["state", "valid_from_date"], segment=incremental.segments(e, "day", 32)).select("event_id", "user_id", "state", "valid_from_date")
@@ -231,7 +242,12 @@ def fk_miss_reason(spark: SparkSession, d: str) -> DataFrame:
     """Foreign keys to versions, with the reason where none was met: a bad key and an event too early are told apart."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     custkey = F.when(F.col("l_orderkey") % 23 == 0, F.lit(None)).when(F.col("l_orderkey") % 19 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
-    li = table(spark, d, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", "l_linenumber", custkey.alias("custkey"), F.date_sub(F.to_date("l_shipdate"), 400).alias("day"))
+    li = table(spark, d, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "l_orderkey",
+        "l_linenumber",
+        custkey.alias("custkey"),
+        F.date_sub(F.to_date("l_shipdate"), 400).alias("day"),
+    )
     look = star.Lookup(queries.order_versions(spark, d), "sk", {"custkey": "o_custkey"}, "version_sk", day="day")
     return star.resolve(li, look, reasons=True).select("l_orderkey", "l_linenumber", "version_sk", "version_sk_miss_reason")
 
@@ -286,7 +302,11 @@ def personal_layers(spark: SparkSession, d: str) -> Store:
     return store
 
 
-LAYERS = [govern.Personal("bronze_customer", "c_custkey", ("c_name", "c_acctbal")), govern.Personal("silver_orders", "o_custkey", ("o_totalprice", "o_orderpriority")), govern.Personal("gold_customer", "c_custkey", ("c_name", "c_acctbal"))]
+LAYERS = [
+    govern.Personal("bronze_customer", "c_custkey", ("c_name", "c_acctbal")),
+    govern.Personal("silver_orders", "o_custkey", ("o_totalprice", "o_orderpriority")),
+    govern.Personal("gold_customer", "c_custkey", ("c_name", "c_acctbal")),
+]
 
 
 @query("""SELECT 'bronze_customer' AS table_name, count(*) AS n, count(*) FILTER (c_custkey NOT BETWEEN 3 AND 5) AS named, count(*) FILTER (c_custkey BETWEEN 3 AND 5) AS logged FROM customer
@@ -328,7 +348,15 @@ def written_lines(spark: SparkSession, d: str) -> str:
     lines = queries.order_lines(spark, d, True).select("value", (F.col("_source_file").substr(5, 1).cast("int") + 1).alias("batch"))
     lines.write.partitionBy("batch").text(f"{root}/Orders")
     counts = lines.groupBy("batch").agg(F.count("*").alias("value"))
-    audit = counts.select("batch", F.lit("Orders").alias("DataSet "), F.col("batch").alias(" BatchID"), F.lit("2017-7-8").alias("Date "), F.lit("O_RECORDS").alias(" Attribute"), F.col("value").alias("Value"), (F.col("value") / 2).cast("decimal(20,5)").alias(" DValue"))
+    audit = counts.select(
+        "batch",
+        F.lit("Orders").alias("DataSet "),
+        F.col("batch").alias(" BatchID"),
+        F.lit("2017-7-8").alias("Date "),
+        F.lit("O_RECORDS").alias(" Attribute"),
+        F.col("value").alias("Value"),
+        (F.col("value") / 2).cast("decimal(20,5)").alias(" DValue"),
+    )
     audit.write.partitionBy("batch").option("header", True).csv(f"{root}/Audit")
     return root
 
@@ -341,7 +369,16 @@ def read_globbed(spark: SparkSession, d: str) -> DataFrame:
     lines = spark.read.text(f"{root}/Orders/batch=*/*.txt").select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("_source_file"))
     rows = delimited.parse_lines(lines, queries.ORDER_SPEC, keep=["path", "_source_file"])
     folder = F.regexp_extract("path", r"/(batch=\d+)/[^/]*$", 1)
-    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderdate", "_cdc_flag", folder.alias("folder"), F.col("_source_file").rlike(r"^part-.*\.txt$").alias("named"))
+    return rows.select(
+        "o_orderkey",
+        "o_custkey",
+        "o_orderstatus",
+        F.col("o_totalprice").cast("double").alias("o_totalprice"),
+        "o_orderdate",
+        "_cdc_flag",
+        folder.alias("folder"),
+        F.col("_source_file").rlike(r"^part-.*\.txt$").alias("named"),
+    )
 
 
 @query("""WITH s AS (SELECT o_custkey % 3 + 1 AS b, count(*) AS n FROM orders GROUP BY 1)
@@ -368,5 +405,10 @@ def read_xml_files(spark: SparkSession, d: str) -> DataFrame:
     inner.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{root}/actions")
     read = xml.read_actions(spark, f"{root}/actions/*.txt")
     sums = F.aggregate("Customer.Account", F.lit(0).cast("bigint"), lambda s, a: s + a["_CA_ID"])
-    counted = read.withColumns({"n_accounts": F.greatest(F.coalesce(F.size("Customer.Account"), F.lit(0)), F.lit(0)).cast("bigint"), "accounts_sum": F.coalesce(sums, F.lit(0).cast("bigint"))})
+    counted = read.withColumns(
+        {
+            "n_accounts": F.greatest(F.coalesce(F.size("Customer.Account"), F.lit(0)), F.lit(0)).cast("bigint"),
+            "accounts_sum": F.coalesce(sums, F.lit(0).cast("bigint")),
+        }
+    )
     return xml.customers(counted, ["n_accounts", "accounts_sum"]).select("c_tax_id", "c_id", "actionts", "c_l_name", "n_accounts", "accounts_sum")

@@ -131,46 +131,239 @@ def derived_bronze(spark: SparkSession, d: str) -> Lazy:
     names = {c: F.lit("x ") for c in ("datedesc", "calendaryeardesc", "calendarqtrdesc", "calendarmonthdesc", "calendarweekdesc", "dayofweekdesc", "fiscalyeardesc", "fiscalqtrdesc")}
     second = lambda k: F.split("timevalue", ":")[k].cast("int")
     out = {
-        "date": lambda: days.select(F.date_format("day", "yyyyMMdd").cast("int").alias("sk_dateid"), F.col("day").alias("datevalue"), F.year("day").alias("calendaryearid"), F.quarter("day").alias("calendarqtrid"), F.month("day").alias("calendarmonthid"), F.weekofyear("day").alias("calendarweekid"), F.dayofweek("day").alias("dayofweeknum"), F.year("day").alias("fiscalyearid"), F.quarter("day").alias("fiscalqtrid"), (F.dayofweek("day") == 1).alias("holidayflag")).withColumns(names),
-        "time": lambda: seconds.select((second(0) * 3600 + second(1) * 60 + second(2)).alias("sk_timeid"), "timevalue", second(0).alias("hourid"), text("timevalue").alias("hourdesc"), second(1).alias("minuteid"), text("timevalue").alias("minutedesc"), second(2).alias("secondid"), text("timevalue").alias("seconddesc"), (second(0) >= 9).alias("markethoursflag"), (second(0) >= 8).alias("officehoursflag")),
-        "status_type": lambda: orders.select(F.lower("o_orderstatus").alias("st_id")).distinct().withColumn("st_name", F.concat(F.lit(" status "), F.col("st_id"))),
-        "trade_type": lambda: orders.select(F.substring("o_orderpriority", 1, 1).alias("tt_id")).distinct().select("tt_id", F.concat(F.lit("type "), F.col("tt_id")).alias("tt_name"), (F.col("tt_id").cast("int") % 2).alias("tt_is_sell"), (F.col("tt_id").cast("int") % 3).alias("tt_is_mrkt")),
-        "tax_rate": lambda: region.select(text("r_regionkey").alias("tx_id"), F.col("r_name").alias("tx_name"), (F.col("r_regionkey") / 100).cast("decimal(6,5)").alias("tx_rate")),
-        "industry": lambda: nation.select(text("n_nationkey").alias("in_id"), F.col("n_name").alias("in_name"), text("n_regionkey").alias("in_sc_id")),
-        "hr": lambda: sup.select(F.col("s_suppkey").cast("int").alias("employeeid"), (F.col("s_suppkey") / 10).cast("int").alias("managerid"), F.lit("Eve").alias("employeefirstname"), F.col("s_name").alias("employeelastname"), F.lit("x").alias("employeemi"), F.col("s_nationkey").alias("employeejobcode"), text("s_nationkey").alias("employeebranch"), F.lit(" ").alias("employeeoffice"), text("s_acctbal").alias("employeephone")),
-        "prospect": lambda: cust.select(text("c_custkey").alias("agencyid"), F.col("c_name").alias("lastname"), *[F.lit(" ").alias(c) for c in ("firstname", "middleinitial", "gender", "addressline1", "addressline2", "postalcode", "city", "state", "country", "phone", "maritalstatus", "ownorrentflag", "employer")], *[F.col("c_nationkey").alias(c) for c in ("income", "numbercars", "numberchildren", "age", "creditrating", "numbercreditcards")], money("c_acctbal", 0).alias("networth")),
-        "finwire_cmp": lambda: sup.select(F.lit("2000-01-01").cast("timestamp_ntz").alias("pts"), F.col("s_name").alias("companyname"), F.lpad(text("s_suppkey"), 10, "0").alias("cik"), F.lit("actv").alias("status"), text("s_nationkey").alias("industryid"), F.lit("AA").alias("sprating"), F.lit("1990-01-01").cast("date").alias("foundingdate"), *[F.lit(" ").alias(c) for c in ("addrline1", "addrline2", "postalcode", "city", "stateprovince", "country", "ceoname", "description")]),
-        "finwire_sec": lambda: part.select(F.lit("2000-01-02").cast("timestamp_ntz").alias("pts"), symbol("p_partkey").alias("symbol"), F.col("p_type").alias("issuetype"), F.lit("ACTV").alias("status"), F.col("p_name").alias("name"), F.col("p_brand").alias("exid"), F.col("p_size").cast("bigint").alias("shout"), F.lit("1995-01-01").cast("date").alias("firsttradedate"), F.lit("1994-01-01").cast("date").alias("firsttradeexchg"), F.lit(None).cast("decimal(10,4)").alias("dividend"), F.when(F.col("p_partkey") % 3 != 0, F.lpad(text("p_size"), 10, "0")).alias("cocik"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Supplier#"), F.lpad(text("p_size"), 9, "0"))).alias("coname")),
-        "trade_history": lambda: orders.select(F.col("o_orderkey").alias("th_t_id"), F.col("o_orderdate").alias("th_dts"), F.lower("o_orderstatus").alias("th_st_id")),
-        "mgmt_customer": lambda: orders.select(F.when(F.col("o_orderkey") % 10 == 9, "INACT").when(F.col("o_orderkey") % 2 == 0, "NEW").otherwise("UPDCUST").alias("actiontype"), F.col("o_orderdate").alias("actionts"), F.col("o_custkey").alias("c_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("c_l_name"), (F.col("o_orderkey") % 3).cast("int").alias("c_tier"), text("o_orderkey").alias("c_tax_id"), (F.col("o_custkey") % 5).cast("string").alias("c_lcl_tx_id")),
-        "mgmt_account": lambda: orders.select(F.when(F.col("o_orderkey") % 10 == 9, "CLOSEACCT").when(F.col("o_orderkey") % 2 == 0, "NEW").otherwise("UPDACCT").alias("actiontype"), F.col("o_orderdate").alias("actionts"), F.col("o_custkey").alias("ca_id"), F.col("o_custkey").alias("ca_c_id"), (F.col("o_custkey") % 7).alias("ca_b_id"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("ca_name"), (F.col("o_orderkey") % 3).cast("int").alias("ca_tax_st")),
-    }
+        "date": lambda: days.select(
+            F.date_format("day", "yyyyMMdd").cast("int").alias("sk_dateid"),
+            F.col("day").alias("datevalue"),
+            F.year("day").alias("calendaryearid"),
+            F.quarter("day").alias("calendarqtrid"),
+            F.month("day").alias("calendarmonthid"),
+            F.weekofyear("day").alias("calendarweekid"),
+            F.dayofweek("day").alias("dayofweeknum"),
+            F.year("day").alias("fiscalyearid"),
+            F.quarter("day").alias("fiscalqtrid"),
+            (F.dayofweek("day") == 1).alias("holidayflag"),
+        ).withColumns(names),
+        "time": lambda: seconds.select(
+            (second(0) * 3600 + second(1) * 60 + second(2)).alias("sk_timeid"),
+            "timevalue",
+            second(0).alias("hourid"),
+            text("timevalue").alias("hourdesc"),
+            second(1).alias("minuteid"),
+            text("timevalue").alias("minutedesc"),
+            second(2).alias("secondid"),
+            text("timevalue").alias("seconddesc"),
+            (second(0) >= 9).alias("markethoursflag"),
+            (second(0) >= 8).alias("officehoursflag"),
+        ),
+        "status_type": lambda: orders.select(F.lower("o_orderstatus").alias("st_id")).distinct().withColumn(
+            "st_name",
+            F.concat(F.lit(" status "), F.col("st_id")),
+        ),
+        "trade_type": lambda: orders.select(F.substring("o_orderpriority", 1, 1).alias("tt_id")).distinct().select(
+            "tt_id",
+            F.concat(F.lit("type "), F.col("tt_id")).alias("tt_name"),
+            (F.col("tt_id").cast("int") % 2).alias("tt_is_sell"),
+            (F.col("tt_id").cast("int") % 3).alias("tt_is_mrkt"),
+        ),
+        "tax_rate": lambda: region.select(
+            text("r_regionkey").alias("tx_id"),
+            F.col("r_name").alias("tx_name"),
+            (F.col("r_regionkey") / 100).cast("decimal(6,5)").alias("tx_rate"),
+        ),
+        "industry": lambda: nation.select(
+            text("n_nationkey").alias("in_id"),
+            F.col("n_name").alias("in_name"),
+            text("n_regionkey").alias("in_sc_id"),
+        ),
+        "hr": lambda: sup.select(
+            F.col("s_suppkey").cast("int").alias("employeeid"),
+            (F.col("s_suppkey") / 10).cast("int").alias("managerid"),
+            F.lit("Eve").alias("employeefirstname"),
+            F.col("s_name").alias("employeelastname"),
+            F.lit("x").alias("employeemi"),
+            F.col("s_nationkey").alias("employeejobcode"),
+            text("s_nationkey").alias("employeebranch"),
+            F.lit(" ").alias("employeeoffice"),
+            text("s_acctbal").alias("employeephone"),
+        ),
+        "prospect": lambda: cust.select(
+            text("c_custkey").alias("agencyid"),
+            F.col("c_name").alias("lastname"),
+            *[
+                F.lit(" ").alias(c) for c in (
+                    "firstname",
+                    "middleinitial",
+                    "gender",
+                    "addressline1",
+                    "addressline2",
+                    "postalcode",
+                    "city",
+                    "state",
+                    "country",
+                    "phone",
+                    "maritalstatus",
+                    "ownorrentflag",
+                    "employer",
+                )
+            ],
+            *[F.col("c_nationkey").alias(c) for c in ("income", "numbercars", "numberchildren", "age", "creditrating", "numbercreditcards")],
+            money("c_acctbal", 0).alias("networth"),
+        ),
+        "finwire_cmp": lambda: sup.select(
+            F.lit("2000-01-01").cast("timestamp_ntz").alias("pts"),
+            F.col("s_name").alias("companyname"),
+            F.lpad(text("s_suppkey"), 10, "0").alias("cik"),
+            F.lit("actv").alias("status"),
+            text("s_nationkey").alias("industryid"),
+            F.lit("AA").alias("sprating"),
+            F.lit("1990-01-01").cast("date").alias("foundingdate"),
+            *[F.lit(" ").alias(c) for c in ("addrline1", "addrline2", "postalcode", "city", "stateprovince", "country", "ceoname", "description")],
+        ),
+        "finwire_sec": lambda: part.select(
+            F.lit("2000-01-02").cast("timestamp_ntz").alias("pts"),
+            symbol("p_partkey").alias("symbol"),
+            F.col("p_type").alias("issuetype"),
+            F.lit("ACTV").alias("status"),
+            F.col("p_name").alias("name"),
+            F.col("p_brand").alias("exid"),
+            F.col("p_size").cast("bigint").alias("shout"),
+            F.lit("1995-01-01").cast("date").alias("firsttradedate"),
+            F.lit("1994-01-01").cast("date").alias("firsttradeexchg"),
+            F.lit(None).cast("decimal(10,4)").alias("dividend"),
+            F.when(F.col("p_partkey") % 3 != 0, F.lpad(text("p_size"), 10, "0")).alias("cocik"),
+            F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Supplier#"), F.lpad(text("p_size"), 9, "0"))).alias("coname"),
+        ),
+        "trade_history": lambda: orders.select(
+            F.col("o_orderkey").alias("th_t_id"),
+            F.col("o_orderdate").alias("th_dts"),
+            F.lower("o_orderstatus").alias("th_st_id"),
+        ),
+        "mgmt_customer": lambda: orders.select(
+            F.when(F.col("o_orderkey") % 10 == 9, "INACT").when(F.col("o_orderkey") % 2 == 0, "NEW").otherwise("UPDCUST").alias("actiontype"),
+            F.col("o_orderdate").alias("actionts"),
+            F.col("o_custkey").alias("c_id"),
+            F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("c_l_name"),
+            (F.col("o_orderkey") % 3).cast("int").alias("c_tier"),
+            text("o_orderkey").alias("c_tax_id"),
+            (F.col("o_custkey") % 5).cast("string").alias("c_lcl_tx_id"),
+        ),
+        "mgmt_account": lambda: orders.select(
+            F.when(F.col("o_orderkey") % 10 == 9, "CLOSEACCT").when(F.col("o_orderkey") % 2 == 0, "NEW").otherwise("UPDACCT").alias("actiontype"),
+            F.col("o_orderdate").alias("actionts"),
+            F.col("o_custkey").alias("ca_id"),
+            F.col("o_custkey").alias("ca_c_id"),
+            (F.col("o_custkey") % 7).alias("ca_b_id"),
+            F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("ca_name"),
+            (F.col("o_orderkey") % 3).cast("int").alias("ca_tax_st"),
+        ),
+    }
     first = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    fin = lambda: first.groupBy(F.lpad(text("l_suppkey"), 10, "0").alias("cocik"), F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter")).agg(F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(20,2)").alias("revenue"), F.count("*").alias("shout"), F.min(F.to_date("l_shipdate")).alias("qtrstartdate"), F.max(F.to_date("l_shipdate")).alias("postingdate"))
-    out["finwire_fin"] = lambda: fin().withColumns({"pts": F.lit("2000-01-03").cast("timestamp_ntz"), "coname": F.lit(None).cast("string"), "dilutedshout": F.col("shout")} | {c: F.col("revenue") for c in ("earnings", "inventory", "assets", "liabilities")} | {c: F.lit(None).cast("decimal(10,4)") for c in ("eps", "dilutedeps", "margin")})
+    fin = lambda: first.groupBy(F.lpad(text("l_suppkey"), 10, "0").alias("cocik"), F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter")).agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(15,2)")).cast("decimal(20,2)").alias("revenue"),
+        F.count("*").alias("shout"),
+        F.min(F.to_date("l_shipdate")).alias("qtrstartdate"),
+        F.max(F.to_date("l_shipdate")).alias("postingdate"),
+    )
+    out["finwire_fin"] = lambda: fin().withColumns(
+        {
+            "pts": F.lit("2000-01-03").cast("timestamp_ntz"),
+            "coname": F.lit(None).cast("string"),
+            "dilutedshout": F.col("shout"),
+        } | {c: F.col("revenue") for c in ("earnings", "inventory", "assets", "liabilities")} | {c: F.lit(None).cast("decimal(10,4)") for c in ("eps", "dilutedeps", "margin")}
+    )
     out = {k: lambda v=v: enveloped(v(), one, at) for k, v in out.items()}
     # What the actions do not name stays empty, as in the source.
     want = {column for _, column, _ in silver.COLUMNS["customer"]}
     named = out["mgmt_customer"]
     out["mgmt_customer"] = lambda: named().withColumns({c: F.lit(None).cast("date" if c == "c_dob" else "string") for c in sorted(want - set(named().columns))})
-    trade = lambda df, key, ts, status, qty, price, account: df.select("_b", F.col(key).alias("t_id"), F.col(ts).alias("t_dts"), F.lower(status).alias("t_st_id"), F.substring("o_orderpriority", 1, 1).alias("t_tt_id"), (F.col(key) % 2 == 0).alias("t_is_cash"), symbol("sym").alias("t_s_symb"), F.col(qty).cast("int").alias("t_qty"), money(price).alias("t_bid_price"), F.col(account).alias("t_ca_id"), F.lit(" an executor ").alias("t_exec_name"), *[money(price).alias(c) for c in ("t_trade_price", "t_chrg", "t_comm", "t_tax")])
-    b1 = lambda: trade(orders.withColumns({"_b": one, "sym": F.col("o_orderkey") % 2500, "qty": F.col("o_custkey")}), "o_orderkey", "o_orderdate", "o_orderstatus", "qty", "o_totalprice", "o_custkey")
-    b23 = lambda: trade(later.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("sym", F.col("l_partkey")), "o_orderkey", "l_shipdate", "l_returnflag", "l_quantity", "l_extendedprice", "o_custkey")
+    trade = lambda df, key, ts, status, qty, price, account: df.select(
+        "_b",
+        F.col(key).alias("t_id"),
+        F.col(ts).alias("t_dts"),
+        F.lower(status).alias("t_st_id"),
+        F.substring("o_orderpriority", 1, 1).alias("t_tt_id"),
+        (F.col(key) % 2 == 0).alias("t_is_cash"),
+        symbol("sym").alias("t_s_symb"),
+        F.col(qty).cast("int").alias("t_qty"),
+        money(price).alias("t_bid_price"),
+        F.col(account).alias("t_ca_id"),
+        F.lit(" an executor ").alias("t_exec_name"),
+        *[money(price).alias(c) for c in ("t_trade_price", "t_chrg", "t_comm", "t_tax")],
+    )
+    b1 = lambda: trade(
+        orders.withColumns({"_b": one, "sym": F.col("o_orderkey") % 2500, "qty": F.col("o_custkey")}),
+        "o_orderkey",
+        "o_orderdate",
+        "o_orderstatus",
+        "qty",
+        "o_totalprice",
+        "o_custkey",
+    )
+    b23 = lambda: trade(
+        later.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("sym", F.col("l_partkey")),
+        "o_orderkey",
+        "l_shipdate",
+        "l_returnflag",
+        "l_quantity",
+        "l_extendedprice",
+        "o_custkey",
+    )
     day = F.to_date("ts")
-    market = lambda: ev.groupBy(day.alias("dm_date"), symbol("user_id").alias("dm_s_symb")).agg(F.max("value").alias("dm_close"), F.max("value").alias("dm_high"), F.min("value").alias("dm_low"), F.count("*").alias("dm_vol"))
+    market = lambda: ev.groupBy(day.alias("dm_date"), symbol("user_id").alias("dm_s_symb")).agg(
+        F.max("value").alias("dm_close"),
+        F.max("value").alias("dm_high"),
+        F.min("value").alias("dm_low"),
+        F.count("*").alias("dm_vol"),
+    )
     changes = {
         "trade": lambda: b1().unionByName(b23()),
-        "holding_history": lambda: li.select(F.col("l_linenumber").alias("_b"), F.col("l_orderkey").alias("hh_h_t_id"), F.col("l_orderkey").alias("hh_t_id"), F.col("l_linenumber").alias("hh_before_qty"), F.col("l_quantity").cast("int").alias("hh_after_qty")).withColumn("_b", F.least("_b", F.lit(3))),
-        "watch_history": lambda: ev.select(one.alias("_b"), F.col("user_id").alias("w_c_id"), symbol("event_id").alias("w_s_symb"), F.col("ts").alias("w_dts"), F.when(F.col("event_type") == "click", "actv").otherwise("cncl").alias("w_action")),
+        "holding_history": lambda: li.select(
+            F.col("l_linenumber").alias("_b"),
+            F.col("l_orderkey").alias("hh_h_t_id"),
+            F.col("l_orderkey").alias("hh_t_id"),
+            F.col("l_linenumber").alias("hh_before_qty"),
+            F.col("l_quantity").cast("int").alias("hh_after_qty"),
+        ).withColumn("_b", F.least("_b", F.lit(3))),
+        "watch_history": lambda: ev.select(
+            one.alias("_b"),
+            F.col("user_id").alias("w_c_id"),
+            symbol("event_id").alias("w_s_symb"),
+            F.col("ts").alias("w_dts"),
+            F.when(F.col("event_type") == "click", "actv").otherwise("cncl").alias("w_action"),
+        ),
         "daily_market": lambda: market().withColumn("_b", one),
-        "cash_transaction": lambda: ev.select(one.alias("_b"), F.col("user_id").alias("ct_ca_id"), F.col("ts").alias("ct_dts"), F.col("value").cast("decimal(15,2)").alias("ct_amt"), F.col("props").alias("ct_name")),
-        "account": lambda: cust.select((F.col("c_custkey") % 2 + 2).cast("int").alias("_b"), F.col("c_custkey").alias("ca_id"), (F.col("c_custkey") % 7).alias("ca_b_id"), F.col("c_custkey").alias("ca_c_id"), F.col("c_mktsegment").alias("ca_name"), F.col("c_nationkey").alias("ca_tax_st"), F.lit("actv").alias("ca_st_id")),
-        "customer": lambda: cust.select((F.col("c_custkey") % 2 + 2).cast("int").alias("_b"), F.col("c_custkey").alias("c_id"), F.col("c_name").alias("c_l_name"), F.col("c_nationkey").alias("c_tier"), F.lit("inac").alias("c_st_id"), *[F.lit(None).cast("date" if c == "c_dob" else "string").alias(c) for c in sorted(want - {"c_id", "c_l_name", "c_tier"})]),
-    }
+        "cash_transaction": lambda: ev.select(
+            one.alias("_b"),
+            F.col("user_id").alias("ct_ca_id"),
+            F.col("ts").alias("ct_dts"),
+            F.col("value").cast("decimal(15,2)").alias("ct_amt"),
+            F.col("props").alias("ct_name"),
+        ),
+        "account": lambda: cust.select(
+            (F.col("c_custkey") % 2 + 2).cast("int").alias("_b"),
+            F.col("c_custkey").alias("ca_id"),
+            (F.col("c_custkey") % 7).alias("ca_b_id"),
+            F.col("c_custkey").alias("ca_c_id"),
+            F.col("c_mktsegment").alias("ca_name"),
+            F.col("c_nationkey").alias("ca_tax_st"),
+            F.lit("actv").alias("ca_st_id"),
+        ),
+        "customer": lambda: cust.select(
+            (F.col("c_custkey") % 2 + 2).cast("int").alias("_b"),
+            F.col("c_custkey").alias("c_id"),
+            F.col("c_name").alias("c_l_name"),
+            F.col("c_nationkey").alias("c_tier"),
+            F.lit("inac").alias("c_st_id"),
+            *[F.lit(None).cast("date" if c == "c_dob" else "string").alias(c) for c in sorted(want - {"c_id", "c_l_name", "c_tier"})],
+        ),
+    }
     for k, v in changes.items():
         out[k] = lambda v=v: enveloped(v().withColumnRenamed("_b", "_batch_id"), F.col("_batch_id"), at, changes=True)
     # A batch to each line number, and the date of its month's day of that number.
-    calendar = lambda: li.select("l_linenumber").distinct().select(F.col("l_linenumber").cast("int").alias("_batch_id"), F.concat(F.lit("2024-2-"), text("l_linenumber")).alias("value"))
+    calendar = lambda: li.select("l_linenumber").distinct().select(
+        F.col("l_linenumber").cast("int").alias("_batch_id"),
+        F.concat(F.lit("2024-2-"), text("l_linenumber")).alias("value"),
+    )
     out["batch_control"] = lambda: control.batch_calendar(calendar())
     return Lazy(out)
 

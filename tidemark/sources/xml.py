@@ -72,4 +72,13 @@ def accounts(actions: DataFrame, keep: list[str] = ()) -> DataFrame:
         *keep, F.col("_ActionType").alias("actiontype"), F.try_to_timestamp("_ActionTS", F.lit("y-M-d'T'H:m:s")).cast("timestamp_ntz").alias("actionts"),
         F.col("Customer._C_ID").alias("ca_c_id"), F.explode("Customer.Account").alias("_x"),
     )
-    return rows.select(*keep, "actiontype", "actionts", "ca_c_id", F.col("_x._CA_ID").alias("ca_id"), F.col("_x._CA_TAX_ST").alias("ca_tax_st"), F.col("_x.CA_B_ID").alias("ca_b_id"), F.nullif(F.trim("_x.CA_NAME"), F.lit("")).alias("ca_name"))
+    return rows.select(
+        *keep,
+        "actiontype",
+        "actionts",
+        "ca_c_id",
+        F.col("_x._CA_ID").alias("ca_id"),
+        F.col("_x._CA_TAX_ST").alias("ca_tax_st"),
+        F.col("_x.CA_B_ID").alias("ca_b_id"),
+        F.nullif(F.trim("_x.CA_NAME"), F.lit("")).alias("ca_name"),
+    )
