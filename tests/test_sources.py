@@ -100,7 +100,7 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(sinks.ContractError):
         sinks.append(df.withColumn("id", F.col("id").cast("bigint")), path, df.schema)
     assert [r.id for r in sinks.unloaded_batches(df, df.where("_batch_id = 2")).collect()] == [1]
-    sinks.fan_out(df, str(tmp_path / "f"), "v")
+    sinks.fan_out(df, str(tmp_path / "f"), "v", ["x"])
     assert spark.read.parquet(str(tmp_path / "f")).count() == 3
     sinks.full_refresh(df.limit(1), path, df.schema)
     assert spark.read.parquet(path).count() == 1

@@ -127,7 +127,7 @@ def true_test(name: str, condition: Column, severity: str = "error") -> RowTest:
     return RowTest(name, ~F.coalesce(condition, F.lit(False)), severity)
 
 
-def _judged(rows: DataFrame, run_id: str, model: str) -> DataFrame:
+def judged(rows: DataFrame, run_id: str, model: str) -> DataFrame:
     """(test, severity, failures) rows to rows of the log."""
     status = F.when(F.col("failures") == 0, "pass").otherwise(F.when(F.col("severity") == "error", "fail").otherwise("warn"))
     return rows.select(
@@ -145,7 +145,7 @@ def row_test_results(df: DataFrame, run_id: str, model: str, tests: list[RowTest
     """The log rows of any number of row tests from one scan: all are counted by one aggregate."""
     counts = df.agg(*[F.count_if(t.violated).alias(f"t{k}") for k, t in enumerate(tests)])
     each = [F.struct(F.lit(t.name).alias("test"), F.lit(t.severity).alias("severity"), F.col(f"t{k}").alias("failures")) for k, t in enumerate(tests)]
-    return _judged(counts.select(F.inline(F.array(*each))), run_id, model)
+    return judged(counts.select(F.inline(F.array(*each))), run_id, model)
 
 
 def run_row_tests(df: DataFrame, run_id: str, model: str, tests: list[RowTest], folder: str) -> DataFrame:
@@ -160,7 +160,7 @@ def run_row_tests(df: DataFrame, run_id: str, model: str, tests: list[RowTest],
     failed = watched.withColumn("_tests", names).where(F.size("_tests") > 0)
     failed.withColumn("_test", F.explode("_tests")).drop("_tests").write.mode("overwrite").partitionBy("_test").parquet(folder)
     rows = [(t.name, t.severity, int(seen.get[f"t{k}"])) for k, t in enumerate(tests)]
-    return _judged(df.sparkSession.createDataFrame(rows, "test string, severity string, failures long"), run_id, model)
+    return judged(df.sparkSession.createDataFrame(rows, "test string, severity string, failures long"), run_id, model)
 
 
 def read_failures(spark: SparkSession, folder: str, test: str, schema: StructType) -> DataFrame:

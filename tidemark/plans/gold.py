@@ -450,3 +450,11 @@ MODELS = {
         fact_company_financials,
     )
 }
+
+#: Models that read silver alone, and then those that read models of the layers before.
+LAYERS = (
+    ("dim_date", "dim_time", "dim_statustype", "dim_tradetype", "dim_broker", "dim_company", "dim_customer", "dim_prospect"),
+    ("dim_security", "dim_account"),
+    ("fact_trade", "fact_cashtransaction", "fact_watchitem", "fact_market_history", "fact_company_financials"),
+    ("fact_trade_history", "fact_holding"),
+)

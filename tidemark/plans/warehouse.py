@@ -45,25 +45,34 @@ def silver_parents(bronze: dict[str, DataFrame], names: list[str]) -> list[str]:
     return sorted(set(met))
 
 
-def build(bronze: dict[str, DataFrame], names: list[str], folder: str, at_once: int = 4) -> Callable[[str], DataFrame]:
-    """Build gold models as layers: every silver model that they need is written once below ``folder``, and gold reads it.
-
-    Silver models do not read each other, so some are written at a time. Each write is a full refresh under the model's
-    own schema. Returns the function from names to DataFrames over what was written.
-    """
-    get = models(bronze)
+def write_models(get: Callable[[str], DataFrame], names: list[str], folder: str, at_once: int = 4) -> dict[str, DataFrame]:
+    """Write models that do not read each other, some at a time, each as a full refresh under its own schema; returns them as read back."""
 
     def write(name: str) -> tuple[str, DataFrame]:
-        df = get(name)
-        path = f"{folder.rstrip('/')}/{name}"
+        df, path = get(name), f"{folder.rstrip('/')}/{name}"
         sinks.full_refresh(df, path, df.schema)
         return name, df.sparkSession.read.schema(df.schema).parquet(path)
 
-    needed = silver_parents(bronze, names)
-    planned = [get(name) for name in needed]  # in one thread
-    spark = planned[0].sparkSession
+    if not names:
+        return {}
+    spark = [get(name) for name in names][0].sparkSession  # plans are made in one thread
     with ThreadPoolExecutor(at_once) as pool:
-        written = dict(pool.map(inheritable_thread_target(spark)(write), needed))
+        return dict(pool.map(inheritable_thread_target(spark)(write), names))
+
+
+def build(bronze: dict[str, DataFrame], names: list[str], folder: str) -> Callable[[str], DataFrame]:
+    """Build gold models as layers: every silver model that they need is written once below ``folder``, and gold reads it.
+
+    Returns the function from names to DataFrames over what was written.
+    """
+    return models(bronze, write_models(models(bronze), silver_parents(bronze, names), folder))
+
+
+def build_all(bronze: dict[str, DataFrame], folder: str) -> Callable[[str], DataFrame]:
+    """Build and write all models, layer by layer, each from what the layers before have written."""
+    written: dict[str, DataFrame] = {}
+    for layer in (list(silver.MODELS), *gold.LAYERS):
+        written |= write_models(models(bronze, written), list(layer), folder)
     return models(bronze, written)
 
 
@@ -76,28 +85,30 @@ def enveloped(df: DataFrame, batch: Column, loaded_at: Column, changes: bool = F
 
 
 def read_bronze(spark: SparkSession, folder: str, names: dict[str, str], loaded_at: Column) -> dict[str, DataFrame]:
-    """Bronze tables of all batches below ``folder`` (Batch1, Batch2, …): ``names`` maps sources to globs below a batch.
+    """Bronze tables of all batches below ``folder`` (Batch1, Batch2, …): ``names`` maps sources to globs below it.
 
+    Every row carries the name of its file.
     FINWIRE files and the customer actions are read once for each of their target tables.
     """
     root, out = folder.rstrip("/"), {}
-    batch = F.regexp_extract("_file", r"[Bb]atch(\d+)/[^/]*$", 1).cast("int")
+    batch = F.regexp_extract("_file", r"[Bb]atch(\d+)/(?!.*[Bb]atch\d+/)", 1).cast("int")
+    located = lambda rows: rows.withColumns({"_b": batch, "_source_file": F.regexp_extract("_file", BELOW_BATCH, 1)}).drop("_file")
     lines = lambda glob: spark.read.text(f"{root}/{glob}").select("value", F.col("_metadata.file_path").alias("_file"))
     for name, glob in names.items():
         if name in specs.DELIMITED:
             spec = specs.DELIMITED[name]
             rows = delimited.parse_lines(lines(glob), spec, keep=["_file"])
-            out[name] = enveloped(rows.withColumn("_b", batch).drop("_file"), F.col("_b"), loaded_at, spec.changes).drop("_b")
+            out[name] = enveloped(located(rows), F.col("_b"), loaded_at, spec.changes).drop("_b")
         elif name == "finwire":
             wire = fixed_width.checked(lines(glob).where(~F.col("_file").like("%\\_audit.csv")), list(specs.WIRE.values()))
             for kind, spec in specs.WIRE.items():
                 rows = fixed_width.parse_records(wire, spec, keep=["_file"])
                 rows = fixed_width.split_reference(rows, spec.rest, "cocik", "coname") if spec.rest else rows
-                out[kind] = enveloped(rows.withColumn("_b", batch).drop("_file"), F.col("_b"), loaded_at).drop("_b")
+                out[kind] = enveloped(located(rows), F.col("_b"), loaded_at).drop("_b")
         elif name == "actions":
-            acts = xml.read_actions(spark, f"{root}/{glob}")
-            out["mgmt_customer"] = enveloped(xml.customers(acts), F.lit(1), loaded_at)
-            out["mgmt_account"] = enveloped(xml.accounts(acts), F.lit(1), loaded_at)
+            acts = xml.read_actions(spark, f"{root}/{glob}", keep_path=True).withColumnRenamed("_path", "_file")
+            for kind, flat in (("mgmt_customer", xml.customers), ("mgmt_account", xml.accounts)):
+                out[kind] = enveloped(located(flat(acts, ["_file"])), F.col("_b"), loaded_at).drop("_b")
         elif name == "batch_control":
             out[name] = control.read_batch_calendar(spark, f"{root}/{glob}")
         elif name == "source_audit":
@@ -105,6 +116,10 @@ def read_bronze(spark: SparkSession, folder: str, names: dict[str, str], loaded_
     return out
 
 
+#: The name of a source file, directly below its batch's folder (a folder of part files counts as one file).
+BELOW_BATCH = r"[Bb]atch\d+/([^/]+)(?!.*[Bb]atch\d+/)"
+
+
 class Lazy(dict):
     """Tables by name, each planned when it is first asked for."""
 
