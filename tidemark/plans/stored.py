@@ -5,13 +5,14 @@ Every query works in a new folder below the shared one (``spark.checkpoint.dir``
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import govern, incremental, quality, reconcile, scd, star, windows
-from tidemark.plans import queries
+from tidemark.plans import ingest, queries, specs, warehouse
 from tidemark.plans.queries import EV, EVENT_VERSIONS, ORDER_VERSIONS, batch_of, events, money, query, total
 from tidemark.session import shared_folder, table
 from tidemark.sources import control, delimited, sinks, xml
@@ -412,3 +413,47 @@ def read_xml_files(spark: SparkSession, d: str) -> DataFrame:
         }
     )
     return xml.customers(counted, ["n_accounts", "accounts_sum"]).select("c_tax_id", "c_id", "actionts", "c_l_name", "n_accounts", "accounts_sum")
+
+
+def rendered(spec: delimited.DelimitedSpec, changed: bool) -> Callable[[DataFrame], Column]:
+    """A line of a source file from typed columns; changes carry their flag and number in front."""
+    kinds = {"timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "boolean": lambda c: F.when(F.col(c), "1").otherwise("0")}
+    front = [F.col("_cdc_flag"), F.col("_cdc_dsn").cast("string")] if changed else []
+    return lambda df: F.concat_ws(spec.delimiter, *front, *[F.coalesce(kinds.get(dict(df.dtypes)[c], lambda x: F.col(x).cast("string"))(c), F.lit("")) for c in spec.names])
+
+
+def batch_folders(spark: SparkSession, d: str) -> str:
+    """Three batches of source files from the given tables: trades in all, other sources in the first; one audit file is off by one."""
+    bronze, root = warehouse.derived_bronze(spark, d), shared_folder(spark, "batches")
+    batch = F.least(F.col("_batch_id"), F.lit(3))
+    for b in (1, 2, 3):
+        folder = f"{root}/Batch{b}"
+        spark.range(1).select(F.lit(f"2017-07-{6 + b:02d}").alias("value")).write.text(f"{folder}/BatchDate.txt")
+        for name in ("trade",) if b > 1 else ("trade", "cash_transaction", "status_type", "hr"):
+            rows, spec = bronze[name].where(batch == b), specs.DELIMITED[name]
+            lines = rows.select(rendered(spec, b > 1)(rows).alias("value"))
+            lines.write.text(f"{folder}/{ingest.FILES[name]}")
+        stated = bronze["trade"].where(batch == b).agg((F.count("*") + int(b == 2)).alias("Value"))
+        audit = [F.lit("Trade").alias("DataSet "), F.lit(b).alias("BatchID"), F.lit(None).cast("string").alias(" Date"), F.lit("T_RECORDS").alias("Attribute "), "Value", F.lit(None).cast("string").alias("DValue")]
+        stated.select(*audit).write.option("header", True).csv(f"{folder}/Trade_audit.csv")
+    return root
+
+
+@query("""WITH t AS (SELECT 1 AS b FROM orders UNION ALL SELECT least(l_linenumber + 1, 3) FROM lineitem JOIN orders ON o_orderkey = l_orderkey), n AS (SELECT b::INT AS batch, count(*) AS n FROM t GROUP BY 1)
+  SELECT 'table' AS kind, 'trade' AS name, batch, n, 'stored' AS status FROM n
+  UNION ALL SELECT 'table', 'cash_transaction', 1, count(*), 'stored' FROM events
+  UNION ALL SELECT 'table', 'status_type', 1, count(DISTINCT o_orderstatus), 'stored' FROM orders
+  UNION ALL SELECT 'table', 'hr', 1, count(*), 'stored' FROM supplier
+  UNION ALL SELECT 'log', 'r' || batch, batch, n, CASE WHEN batch = 2 THEN 'WARNING' ELSE 'PASS' END FROM n UNION ALL SELECT 'log', 'forced', 2, n, 'WARNING' FROM n WHERE batch = 2""")
+def ingest_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches of files go into stored bronze tables; the second is loaded again by force and replaces itself."""
+    root = batch_folders(spark, d)
+    store, at = Store(spark, shared_folder(spark, "bronze")), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    for b in (1, 2, 3):
+        ingest.load_batch(store, root, b, at, f"r{b}")
+    ingest.load_batch(store, root, 2, at, "forced", force=True)
+    log = store.read(ingest.LOG).select(F.lit("log").alias("kind"), F.col("run_id").alias("name"), "batch", F.col("actual").alias("n"), "status")
+    for name in ("trade", "cash_transaction", "status_type", "hr"):
+        held = store.read(name).groupBy(F.col("_batch_id").alias("batch")).agg(F.count("*").alias("n"))
+        log = log.unionByName(held.select(F.lit("table").alias("kind"), F.lit(name).alias("name"), "batch", "n", F.lit("stored").alias("status")))
+    return log
