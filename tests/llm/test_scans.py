@@ -126,6 +126,37 @@ def test_html_rules(html, text):
     assert html_text.main_text(html) == text
 
 
+FRAMES = "has-sidebar,layout-sidebar-right,side-by-side,with-header,no-footer,post comments-open,tags-enabled,search-result,content related-open,category-share,search".split(",")
+PARTS = "sidebar,site-footer,related-posts,cookie-banner2,reader-feedback,cmt-list,comment-thread,share_buttons,main-nav,ad".split(",")
+
+
+@pytest.mark.parametrize("name", [*FRAMES, "form"])
+def test_html_names_of_frames_lose_no_page(name):
+    """Articles written by hand, in elements whose names hold a mark: nothing of them is lost, and what stands beside them is."""
+    article, tag = f"<h1>Head</h1><p>{LONG}{LONG}</p><p>{LONG}{LONG}</p><p>{LONG}{LONG}</p>", "section" if name == "search" else "form" if name == "form" else "div"
+    want = " ".join(["Head", *[LONG + LONG] * 3])
+    framed = f"<{tag} class='{name}'>{article}<input><select><option>choose me</select></{tag}>"
+    assert html_text.main_text(f"<body class={name}>{framed}</body>") == want
+    for part in ("sidebar", "reader-feedback"):
+        assert html_text.main_text(f"<body>{framed}<div class={part}><p>{LONG}{LONG}</p></div></body>") == want
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_html_parts_beside_an_article_go(name):
+    article, want = f"<h1>Head</h1><p>{LONG}{LONG}</p><p>{LONG}{LONG}</p>", " ".join(["Head", *[LONG + LONG] * 2])
+    part = f"<div id={name}>" + f"<p>{LONG}{LONG}</p>" * (5 if "c" in name[:3] or "feedback" in name else 1) + "</div>"
+    assert html_text.main_text(f"<body>{part}<div>{article}</div></body>") == want == html_text.main_text(f"<body><article>{article}{part}</article></body>")
+
+
+def test_html_article_of_verses():
+    verses = [f"A short line of the verse, number {k}" for k in range(20)]
+    poem = "".join(f"<p>{v}</p>" for v in verses)
+    assert html_text.main_text(f"<body><p>{LONG}{LONG}</p><article>{poem}</article></body>") == " ".join(verses)
+    cards = "".join(f"<article><p>{v}</p></article>" for v in verses)  # many small articles are a list of teasers
+    assert html_text.main_text(f"<body><div><p>{LONG}{LONG}</p><p>{LONG}{LONG}</p></div>{cards}</body>") == f"{LONG}{LONG} {LONG}{LONG}"
+    assert html_text.main_text("<p>Press <button>Go</button> now") == "Press now"
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>" * 3000, 2), (1, "u", "<p>" * 3000, 2)], "page_id long, url string, html string, text int")
     assert [r.n_chars for r in html_text.extract_text(df).collect()] == [0, 0, 0]
