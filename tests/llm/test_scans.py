@@ -98,6 +98,31 @@ def test_passages(docs):
     assert licenses.scan_licenses(docs()).count() == 0
 
 
+def labels_of(spark, docs, *texts):
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs(*enumerate(texts))).collect()}
+    return [(got[k].base_labels, got[k].labels) for k in range(len(texts))]
+
+
+def test_license_names_tags_and_addresses(spark, docs):
+    texts = ["// SPDX-License-Identifier: Apache-2.0", "# SPDX-License-Identifier: (MIT OR GPL-3.0-only)", "Released under the BSD 3-Clause License.", "see https://www.gnu.org/licenses/gpl-3.0.html", "http://creativecommons.org/licenses/by-sa/4.0/"]
+    texts += ["SPDX-License-Identifier: LGPL-2.1-or-later", "This is a permit to drive, and mit is a word of German.", "free software, with or without fee, under no licence"]
+    assert labels_of(spark, docs, *texts) == [("", x) for x in ("apache", "mit", "bsd-3-clause", "gpl", "cc-by-sa", "lgpl", "", "")]
+
+
+def test_whole_notices_survive_changes(spark, docs):
+    rng = random.Random(8)
+    for label, text, mandatory in licenses.NOTICES:
+        words = text.split()
+        keep = {w for m in mandatory for w in m.split()}
+        changed = [w if w in keep or rng.random() > 0.06 else f"other{rng.random():.3f}"[2:] for w in words]
+        extra = words[:20] + ["inserted", "words"] + words[20:]
+        lower = [x.split(",") for _, x in labels_of(spark, docs, "Copyright 2020 someone. " + text.title() + ".", " ".join(changed), " ".join(extra))]
+        assert all(label in x for x in lower), (label, lower)
+    given = "Permission is hereby given, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+    unlike = "Permission is given to any person to deal with the software and the files in any way, free of restriction, and a copy of the documentation is associated with it of charge"
+    assert [x for _, x in labels_of(spark, docs, given, unlike)] == ["mit", ""]
+
+
 # ------------------------------------------------------------ html
 
 
