@@ -6,7 +6,10 @@ labels' prefixes: the join starts from the longest prefix that still reaches ``R
 only adds candidates. Candidates are verified exactly on their sets of word shingles.
 
 Work that grows with a group of near copies is split: a subtree with many documents or shingles is dealt out as
-pairs of blocks, and pairs are counted in the task, never emitted. Equal texts are folded before the trees are
+pairs of blocks, and pairs are counted in the task, never emitted. Counting every link of a group takes the square of its
+size. Where only connected groups are asked for (``drop_near_duplicates``), the members of a large subtree are compared
+with its first one, and those that are not linked to it with all: work and rows dealt grow with the group's size, times
+the blocks that the unlinked ones fill. Equal texts are folded before the trees are
 built and come back through their class. Each pair is counted in the first tree in which it meets.
 
 Texts are lower-cased and split at white space. A text of fewer than five words is one shingle, so it matches
@@ -280,10 +283,79 @@ def _links(docs: DataFrame, reps: DataFrame, forest_only: bool) -> DataFrame:
     rows = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = durable(rows, "candidates")
     texts = semi_or_anti(docs.select(_place().alias("rep"), "text"), rows.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    dealt = rows.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tree", "bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rep", "copies", "side", "met", "text")
+    if not forest_only:
+        return _compared(_pairs_of_blocks(rows), texts, False)
+    small, large = rows.where("blocks = 1"), rows.where("blocks > 1")
+    met = durable(_with_texts(_heads(large), texts).repartition("tree", "bucket", "side").sortWithinPartitions("tree", "bucket", "side", F.desc("is_head")).mapInArrow(_against_head, "tree int, bucket long, rep binary, head binary"), "heads")
+    joined = met.where("head is not null").select(
+        F.greatest("rep", "head").alias("src"),
+        F.least("rep", "head").alias("dst"),
+        F.lit(0).cast("long").alias("links"),
+        F.lit(0).cast("long").alias("docs"),
+    )
+    left = met.where("head is null").select("tree", "bucket", "rep")
+    return joined.unionByName(_compared(_pairs_of_blocks(small).unionByName(_rest(large, left)), texts, True))
+
+
+def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
+    """Members dealt to all pairs of their block with a block of their subtree: members x blocks rows."""
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("tree", "bucket", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rep", "copies", "side", "met")
+
+
+def _heads(large: DataFrame) -> DataFrame:
+    """Members of large subtrees, each in its block, with the subtree's first member sent to every block: members + blocks rows."""
+    first = large.groupBy("tree", "bucket").agg(F.min("rep").alias("rep"), F.max("blocks").alias("n"))
+    heads = first.withColumn("side", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("tree", "bucket", "side", "rep", F.lit(True).alias("is_head"))
+    return large.select("tree", "bucket", "side", "rep", F.lit(False).alias("is_head")).unionByName(heads)
+
+
+def _rest(large: DataFrame, left: DataFrame) -> DataFrame:
+    """What stays to be compared once members that are linked to their subtree's first one are joined by it: the others,
+    with every member. Blocks of the others meet blocks of all: members x blocks of others + others x blocks rows."""
+    counted = left.groupBy("tree", "bucket").agg(F.count("*").alias("n_left"))
+    more = F.ceil(F.col("n_left") / BLOCK_DOCS).cast("int")
+    counted = counted.withColumn("others", more)
+    every = large.join(counted, ["tree", "bucket"])
+    members = every.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select("tree", "bucket", "lo", F.col("side").alias("hi"), "rep", "copies", "side", "met")
+    mine = every.join(left, ["tree", "bucket", "rep"], "left_semi").withColumn("lo", F.pmod(F.xxhash64("rep"), F.col("others")).cast("int"))
+    mine = mine.withColumn("hi", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tree", "bucket", "lo", "hi", "rep", "copies", F.lit(-1).alias("side"), "met")
+    # Blocks are numbered from 1 on here, so that no pair looks like one of a block with itself.
+    return members.unionByName(mine).withColumns({"lo": -1 - F.col("lo")})
+
+
+def _with_texts(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    return dealt.join(texts, "rep")
+
+
+def _compared(dealt: DataFrame, texts: DataFrame, forest_only: bool) -> DataFrame:
     keys = ["tree", "bucket", "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(forest_only), "src binary, dst binary, links long, docs long")
+    rows = _with_texts(dealt, texts).select(*keys, "rep", "copies", "side", "met", "text")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(forest_only), "src binary, dst binary, links long, docs long")
+
+
+def _against_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks, each with its subtree's first member before the others, to (tree, bucket, rep, head): head is null where the two are not linked."""
+    hashes = WordHashes(most=200_000)
+    key, head, name = None, None, None
+    for batch in batches:
+        out: list[tuple] = []
+        c = {column: batch.column(k).to_pylist() for k, column in enumerate(batch.schema.names)}
+        for tree, bucket, side, rep, is_head, text in zip(c["tree"], c["bucket"], c["side"], c["rep"], c["is_head"], c["text"]):
+            own = np.unique(shingles(hashes.array((text or "").lower().split())))
+            if is_head:
+                key, head, name = (tree, bucket, side), own, rep
+                continue
+            if rep == name:
+                continue
+            assert key == (tree, bucket, side)
+            linked = False
+            if min(len(own), len(head)) >= THRESHOLD * max(len(own), len(head)):
+                common = len(np.intersect1d(own, head, assume_unique=True))
+                linked = common >= THRESHOLD * (len(own) + len(head) - common) - 1e-9 and len(own) > 0
+            out.append((tree, bucket, rep, name if linked else None))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["tree", "bucket", "rep", "head"])
 
 
 def _place() -> Column:
@@ -357,8 +429,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without all but one document of each connected group: the smallest doc_id stays, of
     several texts with that id the one with the smallest hash.
 
-    Rows with a null doc_id stay. Repeated rows of the document that stays all stay. Links are not counted, so
-    the work in a group of near copies grows with its size.
+    Rows with a null doc_id stay. Repeated rows of the document that stays all stay. Links are not counted: see above.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed, classes, _ = _classes(plain.where("doc_id is not null"), True)
