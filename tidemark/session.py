@@ -34,4 +34,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-tidemark-"))
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+_made: list[str] = []
+
+
+def remove_shared(spark: SparkSession) -> None:
+    """Remove all folders that this process took from ``shared_folder``: what was read from them must have been used by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        folder = path(_made.pop())
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
