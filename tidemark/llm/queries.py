@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import alignment, decontaminate, exact_dedup, html_text, licenses, line_dedup, mixing, near_join, quality, runs, surrogates, token_files, toxicity
-from tidemark.llm.common import table
+from tidemark.llm.common import clear, table  # noqa: F401  clear: for callers that are done with the results
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
