@@ -151,7 +151,7 @@ class _Block:
         words = [(text,)] if whole else text.split(" ") if text else []
         self.ids.append(doc_id)
         self.words.append(words)
-        self.n += len(words)
+        self.n += max(1, len(words))
 
     def rows(self, block: int, vector: np.ndarray) -> pa.RecordBatch:
         """The block's rows; counts of one-to-one groups are added to ``vector``."""

@@ -132,8 +132,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
     """Encode every whole text, append ``end_id`` and write the ids to files below ``path``, in ascending order of doc_id.
 
     A null text is the empty text and has the end id alone; rows without id come last, and rows of one id in the order
-    of a hash of their texts. Files are ranges of ids, one to a shuffle partition; the ranges are cut by id and text, so
-    that an id with very many rows is cut too. The tokenizer must drop white space, as the words between it are encoded
+    of a hash of their texts. Files are ranges of ids, one to a shuffle partition; the ranges are cut by id, text and row, so
+    that an id, or a row, that is there very many times is cut too. The tokenizer must drop white space, as the words between it are encoded
     apart (ASCII white space; what else a tokenizer splits at is left to it).
     """
 
@@ -162,10 +162,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         if held:
             yield flush()
 
-    rows = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text")
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    rows = docs.selectExpr(f"cast(`{id_column}` as long) as doc_id", f"`{text_column}` as text").withColumn("nth", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("nth")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # Bytes pass through the text writer as they are; it puts a newline behind each record.
     records = rows.mapInArrow(work, "record binary").selectExpr("cast(record as string) as record")
     records.write.option("lineSep", "\n").option("compression", "none").text(path)
