@@ -268,14 +268,19 @@ def test_stream_that_starts_again_does_not_read_its_target(spark, tmp_path):
 def test_gold_reads_written_silver(spark, tmp_path):
     from tests_data import write_batches
 
-    from tidemark.plans import warehouse
+    from tidemark.plans import gold, warehouse
     from test_warehouse import NAMES
 
     os.makedirs(tmp_path / "in")
     write_batches(tmp_path / "in")
     bronze = warehouse.read_bronze(spark, str(tmp_path / "in"), NAMES, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"))
-    assert {"silver_trade", "silver_account", "silver_customer"} <= set(warehouse.silver_parents(bronze, ["fact_trade"])) and "silver_prospect" not in warehouse.silver_parents(bronze, ["fact_trade"])
+    for name, build in gold.MODELS.items():  # what is declared is what the builders ask for
+        asked, get = set(), warehouse.models(bronze)
+        build(lambda n: (asked.add(n), get(n))[1])
+        assert asked == set(gold.READS[name]), name
+    parents = warehouse.silver_parents(["fact_trade"])
+    assert {"silver_trade", "silver_account", "silver_customer"} <= set(parents) and "silver_prospect" not in parents
     built = warehouse.build(bronze, ["fact_trade"], str(tmp_path / "silver"))
     df = built("fact_trade")
-    assert set(os.listdir(tmp_path / "silver")) == set(warehouse.silver_parents(bronze, ["fact_trade"]))
+    assert set(os.listdir(tmp_path / "silver")) == set(parents)
     assert all(f"{tmp_path}/silver" in p for p in df.inputFiles()) and sorted(map(str, df.collect())) == sorted(map(str, warehouse.models(bronze)("fact_trade").collect()))

@@ -458,3 +458,24 @@ LAYERS = (
     ("fact_trade", "fact_cashtransaction", "fact_watchitem", "fact_market_history", "fact_company_financials"),
     ("fact_trade_history", "fact_holding"),
 )
+
+#: What each model reads.
+READS = {
+    "dim_date": ("silver_date",),
+    "dim_time": ("silver_time",),
+    "dim_statustype": ("silver_status_type",),
+    "dim_tradetype": ("silver_trade_type",),
+    "dim_broker": ("silver_hr",),
+    "dim_company": ("silver_finwire_company", "silver_industry"),
+    "dim_security": ("silver_finwire_security", "dim_company"),
+    "dim_customer": ("silver_customer", "silver_tax_rate"),
+    "dim_account": ("silver_account", "dim_broker", "dim_customer"),
+    "dim_prospect": ("silver_prospect",),
+    "fact_trade": ("silver_trade", "dim_security", "dim_account", "dim_statustype", "dim_tradetype", "dim_date", "dim_time"),
+    "fact_trade_history": ("silver_trade_history", "fact_trade", "dim_statustype", "dim_date", "dim_time"),
+    "fact_holding": ("silver_holding_history", "fact_trade"),
+    "fact_cashtransaction": ("silver_cash_transaction", "dim_account", "dim_date", "dim_time"),
+    "fact_watchitem": ("silver_watch_history", "dim_customer", "dim_security", "dim_date", "dim_time"),
+    "fact_market_history": ("silver_daily_market", "dim_security", "dim_date"),
+    "fact_company_financials": ("silver_finwire_financials", "dim_company", "dim_date"),
+}

@@ -30,22 +30,18 @@ def models(bronze: dict[str, DataFrame], written: dict[str, DataFrame] | None =
     return get
 
 
-def silver_parents(bronze: dict[str, DataFrame], names: list[str]) -> list[str]:
-    """The silver models that the given gold models read, however deep: their plans are made, and nothing is run."""
-    get, met = models(bronze), []
-
-    def noted(name: str) -> DataFrame:
-        if name in silver.MODELS:
-            met.append(name)
-            return get(name)
-        return gold.MODELS[name](noted)
-
-    for name in names:
-        noted(name)
-    return sorted(set(met))
-
-
-def write_models(get: Callable[[str], DataFrame], names: list[str], folder: str, at_once: int = 4) -> dict[str, DataFrame]:
+def silver_parents(names: list[str]) -> list[str]:
+    """The silver models that the given gold models read, however deep."""
+    met, todo = set(), list(names)
+    while todo:
+        name = todo.pop()
+        if name not in met:
+            met.add(name)
+            todo += gold.READS.get(name, ())
+    return sorted(met & set(silver.MODELS))
+
+
+def write_models(get: Callable[[str], DataFrame], names: list[str], folder: str, at_once: int = 6) -> dict[str, DataFrame]:
     """Write models that do not read each other, some at a time, each as a full refresh under its own schema; returns them as read back."""
 
     def write(name: str) -> tuple[str, DataFrame]:
@@ -65,7 +61,7 @@ def build(bronze: dict[str, DataFrame], names: list[str], folder: str) -> Callab
 
     Returns the function from names to DataFrames over what was written.
     """
-    return models(bronze, write_models(models(bronze), silver_parents(bronze, names), folder))
+    return models(bronze, write_models(models(bronze), silver_parents(names), folder))
 
 
 def build_all(bronze: dict[str, DataFrame], folder: str) -> Callable[[str], DataFrame]:
