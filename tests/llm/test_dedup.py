@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from odd_rows import ODD
 
@@ -413,3 +414,40 @@ def test_script_cost_is_no_less_than_the_distance():
 
 def test_lines_of_odd_rows(docs):
     assert line_dedup.dedup_lines(docs(*ODD)).count() == len(ODD) and line_dedup.dedup_lines(docs()).count() == 0
+
+
+def test_near_of_many_pairs():
+    rng = random.Random(12)
+    a, b, most = [], [], []
+    for _ in range(150):
+        x = "".join(rng.choice("abcde fgh") for _ in range(rng.randrange(1, 400)))
+        y = list(x) if rng.random() < 0.8 else [rng.choice("abcde fgh") for _ in x]
+        for _ in range(rng.randrange(len(x) // 3 + 1)):
+            y.insert(rng.randrange(len(y) + 1), "x") if rng.random() < 0.5 or len(y) < 2 else y.pop(rng.randrange(len(y)))
+        a.append(x)
+        b.append("".join(y))
+        most.append(len(x) // 5)
+    distances = [line_dedup.edit_distance(x, y, 1e9) for x, y in zip(a, b)]
+    assert line_dedup.near(a, b, np.array(most)).tolist() == [d <= m for d, m in zip(distances, most)]
+    assert all(line_dedup.anchored_cost(x, y, 1e9) >= d for x, y, d in zip(a, b, distances))
+
+
+def test_large_texts_are_taken_apart_in_portions(docs, monkeypatch):
+    rng = random.Random(13)
+    rows = [(k, "\n".join(" ".join(line_of(rng, 9)) for _ in range(4))) for k in range(30)]
+    rows += [(k + 100, t) for k, t in rows]
+    want = {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(docs(*rows)).collect()}
+    monkeypatch.setattr(line_dedup, "PORTION", 200)
+    assert {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(docs(*rows)).collect()} == want
+    table = pa.table({"text": [t for _, t in rows]}).to_batches()
+    parts = list(line_dedup._portions(iter(table), 0))
+    assert len(parts) > 10 and pa.Table.from_batches(parts).equals(pa.Table.from_batches(table))
+
+
+def test_counts_of_long_lines_are_made_again(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG", 20)
+    monkeypatch.setattr(line_dedup, "KEPT", 1)
+    rng = random.Random(14)
+    start = line_of(rng, 14)
+    rows = [(k, " ".join(start + line_of(rng, 3 + k % 2))) for k in range(24)]
+    assert {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(docs(*rows)).collect()} == brute_lines(rows)
