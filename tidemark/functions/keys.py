@@ -28,6 +28,21 @@ def surrogate_key(*columns: str | Column) -> Column:
     return F.md5(joined(list(columns), "-"))
 
 
+def packed(c: Column, prefix: str = "") -> dict[str, Column]:
+    """A hash in two columns for the way through a shuffle: MD5 texts as 16 bytes, any other text as it is. Equal values stay equal, NULL stays NULL; MD5 texts keep their order."""
+    hashed = c.rlike(r"^[0-9a-f]{32}\z")
+    return {f"{prefix}_packed": F.when(hashed, F.unhex(c)), f"{prefix}_text": F.when(~hashed, c)}
+
+
+def unpacked(prefix: str = "") -> Column:
+    return F.coalesce(F.lower(F.hex(f"{prefix}_packed")), F.col(f"{prefix}_text"))
+
+
+def digest(c: Column) -> Column:
+    """128 bits of a text's SHA-256, to group by in place of long texts."""
+    return F.unhex(F.substring(F.sha2(c, 256), 1, 32))
+
+
 def smart_date_key(c: Column) -> Column:
     return F.date_format(c, "yyyyMMdd").cast("int")
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import second_of_day, second_of_text, surrogate_key
+from tidemark.functions.keys import packed, second_of_day, second_of_text, surrogate_key, unpacked
 from tidemark.operators.star import OPEN_END, Lookup, reference_join, resolve, with_unknown
 from tidemark.operators.windows import dedup_latest, down, up
 
@@ -340,15 +340,17 @@ def fact_trade_history(t: Table) -> DataFrame:
 
 
 def fact_holding(t: Table) -> DataFrame:
-    trades = t("fact_trade").select(F.col("trade_id").alias("_t"), "account_sk", "security_sk", F.col("trade_date_sk").alias("holding_date_sk"))
-    rows = t("silver_holding_history").join(trades, F.col("trade_id") == F.col("_t"))
+    # Hashes go through the join as 16 bytes.
+    hashes = packed(F.col("account_sk"), "account") | packed(F.col("security_sk"), "security")
+    trades = t("fact_trade").select(F.col("trade_id").alias("_t"), F.col("trade_date_sk").alias("holding_date_sk"), *[c.alias(n) for n, c in hashes.items()])
+    rows = t("silver_holding_history").withColumn("_sk", F.unhex(surrogate_key("_row_hash"))).join(trades, F.col("trade_id") == F.col("_t"))
     return rows.select(
-        surrogate_key("_row_hash").alias("holding_sk"),
+        F.lower(F.hex("_sk")).alias("holding_sk"),
         "originating_trade_id",
         F.col("trade_id").alias("current_trade_id"),
-        "security_sk",
+        unpacked("security").alias("security_sk"),
         "holding_date_sk",
-        "account_sk",
+        unpacked("account").alias("account_sk"),
         F.col("qty_before").alias("before_quantity"),
         F.col("qty_after").alias("after_quantity"),
         F.col("_batch_id").alias("batch_id"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.casting import trim_or_null
-from tidemark.functions.keys import surrogate_key
+from tidemark.functions.keys import packed, surrogate_key, unpacked
 from tidemark.operators.scd import status_transitions
 from tidemark.operators.windows import changed_only, close_intervals, dedup_latest, down, forward_fill, up
 
@@ -257,10 +257,21 @@ def _reference(source: str, key: str, needs: str):
     return build
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """The content hash as half its size, for a shuffle; ``unpacked`` gives it back."""
+    return rows.withColumns(packed(F.col("_row_hash"))).drop("_row_hash")
+
+
+def _hash_down() -> list[Column]:
+    """``down("_row_hash")`` of packed rows."""
+    return [down("_text"), down("_packed")]
+
+
 def _log(source: str, *needs: str):
     def build(bronze: Bronze) -> DataFrame:
         rows = cleaned(bronze[source], source, *CHANGES, needs=list(needs))
-        return dedup_latest(rows, ["_row_hash"], [down("_batch_id"), down("_cdc_dsn"), down("_loaded_at")])
+        kept = dedup_latest(_packed(rows), ["_packed", "_text"], [down("_batch_id"), down("_cdc_dsn"), down("_loaded_at")])
+        return kept.withColumn("_row_hash", unpacked()).select(*rows.columns)
 
     return build
 
@@ -271,7 +282,8 @@ def prospect(bronze: Bronze) -> DataFrame:
 
 def trade(bronze: Bronze) -> DataFrame:
     rows = cleaned(bronze["trade"], "trade", "_cdc_dsn", needs=["t_id", "t_dts"])
-    return dedup_latest(rows, ["trade_id"], _newest("_batch_id", "trade_timestamp", "_cdc_dsn")).drop("_cdc_dsn", "_row_hash", "_loaded_at")
+    order = [down("_batch_id"), down("trade_timestamp"), down("_cdc_dsn"), down("_loaded_at"), *_hash_down()]
+    return dedup_latest(_packed(rows), ["trade_id"], order).drop("_cdc_dsn", "_packed", "_text", "_loaded_at")
 
 
 def trade_history(bronze: Bronze) -> DataFrame:
@@ -294,7 +306,8 @@ def trade_history(bronze: Bronze) -> DataFrame:
     )
     rows = status_transitions(first, later, ["trade_id"], [up("_batch_id"), up("status_ts"), up("_cdc_dsn"), up("_loaded_at"), up("_row_hash")], "status_id")
     rows = rows.withColumn("_source_model", F.when(F.col("origin") == "history", "bronze_trade_history").otherwise("bronze_trade")).drop("origin", "_cdc_dsn")
-    return dedup_latest(rows, ["trade_id", "status_ts", "status_id"], _newest())
+    kept = dedup_latest(_packed(rows), ["trade_id", "status_ts", "status_id"], [down("_loaded_at"), *_hash_down()])
+    return kept.withColumn("_row_hash", unpacked()).select(*rows.columns)
 
 
 def finwire_company(bronze: Bronze) -> DataFrame:

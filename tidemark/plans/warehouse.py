@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import row_hash
 from tidemark.plans import gold, silver, specs
-from tidemark.session import shared_folder, table
+from tidemark.session import remove_folder, shared_folder, shuffles_freed, table
 from tidemark.sources import control, delimited, fixed_width, sinks, xml
 
 
@@ -46,13 +46,13 @@ def write_models(get: Callable[[str], DataFrame], names: list[str], folder: str,
 
     def write(name: str) -> tuple[str, DataFrame]:
         df, path = get(name), f"{folder.rstrip('/')}/{name}"
-        sinks.full_refresh(df, path, df.schema)
+        sinks.full_refresh(df, path, df.schema, compression="zstd")
         return name, df.sparkSession.read.schema(df.schema).parquet(path)
 
     if not names:
         return {}
     spark = [get(name) for name in names][0].sparkSession  # plans are made in one thread
-    with ThreadPoolExecutor(at_once) as pool:
+    with shuffles_freed(spark), ThreadPoolExecutor(at_once) as pool:
         return dict(pool.map(inheritable_thread_target(spark)(write), names))
 
 
@@ -72,6 +72,68 @@ def build_all(bronze: dict[str, DataFrame], folder: str) -> Callable[[str], Data
     return models(bronze, written)
 
 
+def walk(
+    bronze: dict[str, DataFrame],
+    names: list[str],
+    folder: str,
+    visit: Callable[[list[str], Callable[[str], DataFrame]], None] = lambda names, get: None,
+    visits: dict[str, set[str]] | None = None,
+    keep: tuple[str, ...] | list[str] = (),
+    written: Callable[[str], bool] = lambda name: True,
+) -> Callable[[str], DataFrame]:
+    """Write the named models and all that they read, in the order of ``WAVES``; each is removed once nothing that follows reads it.
+
+    After a wave is written, ``visit`` gets the names of its models and the function from names to DataFrames; what it
+    makes of them must be used when it returns. ``visits`` names other models that it reads for a model. Models that
+    ``written`` says no to are planned by those that read them. So the disk holds the models that are still read, and the
+    shuffles of one wave. Those in ``keep`` stay.
+    """
+    visits, met, todo = visits or {}, set(), list(names)
+    while todo:
+        name = todo.pop()
+        if name not in met:
+            met.add(name)
+            todo += [*gold.READS.get(name, ()), *visits.get(name, ())]
+    waves = [wave for w in WAVES if (wave := [n for n in w if n in met and written(n)])]
+    stored: dict[str, DataFrame] = {}
+
+    def remove_all_but(read: set[str]) -> None:
+        for name in sorted(set(stored) - read):
+            remove_folder(stored.pop(name).sparkSession, f"{folder.rstrip('/')}/{name}")
+
+    for k, wave in enumerate(waves):
+        stored |= write_models(models(bronze, stored), wave, folder)
+        later = {n for w in waves[k + 1 :] for n in w}
+        read = later.union(keep, *(visits.get(n, ()) for n in later), *(written_below(n, written) for n in later))
+        remove_all_but(read.union(wave, *(visits.get(n, ()) for n in wave)))
+        visit(wave, models(bronze, stored))
+        remove_all_but(read)
+    return models(bronze, stored)
+
+
+def written_below(name: str, written: Callable[[str], bool]) -> set[str]:
+    """The written models that a model reads, itself or by way of models that are not written."""
+    return set().union(*({n} if written(n) else written_below(n, written) for n in gold.READS.get(name, ())))
+
+
+#: All models, those of a wave at once: what they read, and what their tests refer to, comes before them, and the large ones are alone.
+WAVES = (
+    ("silver_date", "silver_time", "silver_status_type", "silver_tax_rate", "silver_industry", "silver_trade_type", "silver_hr", "silver_prospect"),
+    ("dim_date", "dim_time", "dim_statustype", "dim_tradetype", "dim_broker", "dim_prospect", "silver_finwire_company", "silver_finwire_security"),
+    ("dim_company", "silver_customer"),
+    ("dim_security", "dim_customer", "silver_account"),
+    ("silver_daily_market", "silver_finwire_financials", "dim_account"),
+    ("fact_market_history", "fact_company_financials", "silver_watch_history"),
+    ("fact_watchitem", "silver_cash_transaction"),
+    ("fact_cashtransaction", "silver_trade"),
+    ("fact_trade",),
+    ("silver_trade_history",),
+    ("fact_trade_history",),
+    ("silver_holding_history",),
+    ("fact_holding",),
+)
+
+
 def enveloped(df: DataFrame, batch: Column, loaded_at: Column, changes: bool = False) -> DataFrame:
     """The load envelope; change columns are no part of the hash."""
     business = [c for c in df.columns if c not in ("_cdc_flag", "_cdc_dsn", "_dq_errors", "_source_file", "_b", "_batch_id", "_loaded_at")]
@@ -384,7 +446,13 @@ def _query(name: str):
         bronze = derived_bronze(spark, d)
         if name in silver.MODELS:
             return models(bronze)(name)
-        return build(bronze, [name], shared_folder(spark, "warehouse"))(name)
+        folder = shared_folder(spark, "warehouse")
+        if not any(n.startswith("fact_") for n in gold.READS[name]):
+            return build(bronze, [name], folder)(name)
+        # The facts that it reads are written too: their shuffles, and what they alone read, are gone when it runs.
+        kept = {*silver_parents([name]), *(n for n in gold.READS[name] if n.startswith("fact_"))}.__contains__
+        reads = sorted(written_below(name, kept))
+        return walk(bronze, reads, folder, keep=reads, written=kept)(name)
 
     run.__name__ = f"wh_{name}"
     return run

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -41,9 +43,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 _made: list[str] = []
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def remove_shared(spark: SparkSession) -> None:
     """Remove all folders that this process took from ``shared_folder``: what was read from them must have been used by then."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     while _made:
-        folder = path(_made.pop())
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_folder(spark, _made.pop())
+
+
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of writes, and of frames made within it that are collected, go as these end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)

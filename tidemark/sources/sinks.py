@@ -29,8 +29,8 @@ def overwrite_batches(df: DataFrame, path: str, contract: StructType, partition:
     assert_contract(df, contract).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def full_refresh(df: DataFrame, path: str, contract: StructType) -> None:
-    assert_contract(df, contract).write.mode("overwrite").parquet(path)
+def full_refresh(df: DataFrame, path: str, contract: StructType, **options: str) -> None:
+    assert_contract(df, contract).write.mode("overwrite").options(**options).parquet(path)
 
 
 def fan_out(df: DataFrame, path: str, by: str, targets: list[str], rest: str = "other") -> dict[str, int]:
