@@ -387,6 +387,18 @@ def test_large_blocks_pass_through(docs, monkeypatch):
     assert {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(docs(*rows).repartition(6)).collect()} == brute_lines(rows)
 
 
+def test_near_copies_of_a_large_block_meet_its_first_line(docs, monkeypatch):
+    """Lines dealt out grow with the group, not with its square, and what is linked is linked."""
+    monkeypatch.setattr(line_dedup, "PART", 5)
+    dealt, links = [], line_dedup._links
+    monkeypatch.setattr(line_dedup, "_links", lambda groups: (dealt.append(groups.count()), links(groups))[1])
+    rng = random.Random(31)
+    start, rest = line_of(rng, 14), line_of(rng, 40)
+    rows = [(k, " ".join([*start, *rest, f"q{chr(97 + k // 26)}{chr(97 + k % 26)}"])) for k in range(200)]
+    assert {(r.doc_id, r.line) for r in line_dedup.duplicate_lines(docs(*rows)).collect()} == {(k, 0) for k in range(1, 200)}
+    assert len(dealt) == 2 and sum(dealt) < 10 * 200  # pairs of parts of one block and class alone are 200 * 40
+
+
 def test_distances_of_many_pairs():
     rng = random.Random(21)
     for size in (1, 5, 63, 64, 65, 128, 129, 200):
